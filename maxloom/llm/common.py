@@ -82,11 +82,12 @@ def _powers(base: int, n: int) -> np.ndarray:
     return out
 
 
-def word_hashes(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words (runs of a-z, 0-9 and non-ASCII bytes) of lower-cased rows, and each row's word offsets."""
+def word_spans(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and length of each word (run of a-z, 0-9 and non-ASCII bytes) of lower-cased rows, and each row's word offsets."""
+    none = np.empty(0, np.int64)
     n = len(flat)
     if not n:
-        return np.empty(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return np.empty(0, np.uint64), none, none, np.zeros(len(offsets), np.int64)
     inside = _WORD_BYTE[flat]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
@@ -94,18 +95,18 @@ def word_hashes(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     first[cuts] = inside[cuts]
     starts = np.flatnonzero(first)
     if not len(starts):
-        return np.empty(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return np.empty(0, np.uint64), none, none, np.zeros(len(offsets), np.int64)
     place = np.flatnonzero(inside)
     index = np.searchsorted(place, starts)
     lengths = np.diff(np.append(index, len(place)))
     within = np.arange(len(place)) - np.repeat(index, lengths)
     terms = _LETTER[flat[place]] * _powers(_BASE, int(lengths.max()))[within]
-    return mix64(np.add.reduceat(terms, index) + lengths.astype(np.uint64)), np.searchsorted(starts, offsets)
+    return mix64(np.add.reduceat(terms, index) + lengths.astype(np.uint64)), starts, lengths, np.searchsorted(starts, offsets)
 
 
 def shingle_hashes(flat: np.ndarray, offsets: np.ndarray, words: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of each row's word n-grams and the row offsets in them; a row of fewer words has one shingle of all its words."""
-    h, at = word_hashes(flat, offsets)
+    h, _, _, at = word_spans(flat, offsets)
     counts = np.diff(at)
     grams = np.where(counts == 0, 0, np.maximum(counts - words + 1, 1))
     out_at = np.concatenate([[0], np.cumsum(grams)])

@@ -86,9 +86,9 @@ def pack_pieces(tokenizer_path: str, capacity: int = WINDOW, end_id: int = END_I
     """mapInArrow function: (doc_id, text) to one row per piece."""
 
     def run(batches):
-        from .wordpiece import WordEncoder
+        from .wordpiece import BATCH_BYTES, encoder as held_encoder
 
-        encoder = WordEncoder(tokenizer_path)
+        encoder = held_encoder(tokenizer_path)
         number = TaskContext.get().partitionId() << 40
         held: list[tuple] = []
         tokens = 0
@@ -111,7 +111,7 @@ def pack_pieces(tokenizer_path: str, capacity: int = WINDOW, end_id: int = END_I
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], NAMES) if rows else None
 
         for batch in batches:
-            for part in byte_slices(batch, 1):
+            for part in byte_slices(batch, 1, BATCH_BYTES):
                 for doc, ids in zip(part.column(0).to_pylist(), encoder.ids(part.column(1)), strict=True):
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                     for start in range(0, len(ids), capacity):

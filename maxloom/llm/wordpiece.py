@@ -16,8 +16,10 @@ import pyarrow.compute as pc
 _SPACE = r"\x09-\x0D \x{85}\x{A0}"
 _PIECE = rf"'s|'t|'re|'ve|'m|'ll|'d|\pL+|\pN|[^{_SPACE}\pL\pN]+"
 _ODD = r"[^\x00-\x{24F}]|\x{130}|<\|"
-#: Words kept between batches; beyond it the cache starts anew, so memory stays bounded.
-CACHE_WORDS = 250_000
+#: Words kept between batches; beyond it only the commonest stay, so memory is bounded.
+#: Text bytes per batch that suit it.
+BATCH_BYTES = 8 << 20
+CACHE_WORDS = 200_000
 
 
 def load(path: str):
@@ -27,30 +29,70 @@ def load(path: str):
     return Tokenizer.from_file(path)
 
 
+_END = "</w>"
+_HELD: dict[str, WordEncoder] = {}
+
+
+def encoder(path: str) -> WordEncoder:
+    """One encoder per worker process: its cache stays warm, and its memory is taken once."""
+    if path not in _HELD:
+        _HELD[path] = WordEncoder(path)
+    return _HELD[path]
+
+
 class WordEncoder:
     def __init__(self, path: str):
-        self.library = load(path)
-        self._clear()
+        from tokenizers import Tokenizer, pre_tokenizers
 
-    def _clear(self) -> None:
+        self.library = load(path)
+        # The same model for words that are cut and normalised already: many in a call, told apart by their end marks.
+        self.model = Tokenizer(self.library.model)
+        self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.ends = np.zeros(self.library.get_vocab_size(with_added_tokens=True), bool)
+        self.ends[[i for token, i in self.library.get_vocab().items() if token.endswith(_END)]] = True
         self.known: dict[str, int] = {}
         self.flat = np.empty(0, np.uint32)
         self.starts = np.empty(0, np.int64)
         self.sizes = np.empty(0, np.int64)
+        self.used = np.empty(0, np.int64)
+
+    def _shrink(self) -> None:
+        """Keep the words that came in the most batches, at most half the cache."""
+        least = max(2, int(np.partition(self.used, -(CACHE_WORDS // 2))[-(CACHE_WORDS // 2)]) + 1)
+        keep = self.used >= least
+        number = np.cumsum(keep) - 1
+        self.known = {w: int(number[r]) for w, r in self.known.items() if keep[r]}
+        sizes = self.sizes[keep]
+        where = np.repeat(self.starts[keep] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        self.flat, self.sizes, self.starts, self.used = self.flat[where], sizes, np.cumsum(sizes) - sizes, self.used[keep]
+
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        lots = [" ".join(words[i : i + 500]) for i in range(0, len(words), 500)]
+        flat = np.concatenate([np.asarray(e.ids, np.uint32) for e in self.model.encode_batch_fast(lots, add_special_tokens=False)])
+        sizes = np.diff(np.flatnonzero(self.ends[flat]), prepend=-1)
+        if len(sizes) != len(words):
+            raise ValueError("the vocabulary does not mark every word's end")
+        return flat, sizes
 
     def _rows(self, words: list[str]) -> np.ndarray:
-        """The cache row of each word; words not seen before are encoded."""
+        """The cache row of each of these distinct words; words not seen before are encoded."""
         if len(self.known) > CACHE_WORDS:
-            self._clear()
-        fresh = [w for w in words if w not in self.known]
-        if fresh:
-            ids = [e.ids for e in self.library.encode_batch_fast(fresh, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.known.update(zip(fresh, range(len(self.sizes), len(self.sizes) + len(fresh)), strict=True))
+            self._shrink()
+        get = self.known.get
+        rows = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        new = np.flatnonzero(rows < 0)
+        if len(new):
+            fresh = [words[i] for i in new]
+            flat, sizes = self._encode(fresh)
+            first = len(self.sizes)
+            self.known.update(zip(fresh, range(first, first + len(fresh)), strict=True))
+            rows[new] = np.arange(first, first + len(fresh))
             self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
-            self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))])
+            self.flat = np.concatenate([self.flat, flat])
             self.sizes = np.concatenate([self.sizes, sizes])
-        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+            self.used = np.concatenate([self.used, np.zeros(len(fresh), np.int64)])
+        self.used[rows] += 1
+        return rows
 
     def _split(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
         """Words' cache rows, the texts' word offsets, and which texts are odd."""
