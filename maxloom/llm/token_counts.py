@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 
 from .common import byte_slices, shared_dir
+from .wordpiece import BATCH_BYTES
 
 LIMIT = 2048
 
@@ -33,11 +34,11 @@ def encoder_for(path: str):
     if path.endswith(".json"):
         import json
 
-        from .wordpiece import WordEncoder, load
+        from .wordpiece import encoder, load
 
         with open(path, encoding="utf-8") as f:
             if json.load(f)["model"].get("end_of_word_suffix"):
-                return WordEncoder(path).counts
+                return encoder(path).counts
         library = load(path)
         return lambda texts: [len(e.ids) for e in library.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
     import sentencepiece
@@ -56,7 +57,7 @@ def _encode(path: str):
     def run(batches):
         counts = encoder_for(path)
         for batch in batches:
-            for part in byte_slices(batch, 1):
+            for part in byte_slices(batch, 1, BATCH_BYTES):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts(part.column(1)), pa.int64())], ["digest", "n_tokens"])
 
     return run
