@@ -11,6 +11,12 @@ def word_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_quality(spark, sf_dir):
+    from .quality import quality
+
+    return quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op5_packing(spark, sf_dir):
     from .packing import pack
 
@@ -29,7 +35,13 @@ def op9_token_counts(spark, sf_dir):
     return token_counts(read_table(spark, sf_dir, "documents"), word_vocabulary())
 
 
-QUERIES = {f.__name__: f for f in (op5_packing, op6_exact_dedup, op9_token_counts)}
+def op10_toxicity(spark, sf_dir):
+    from .toxicity import toxicity
+
+    return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op2_quality, op5_packing, op6_exact_dedup, op9_token_counts, op10_toxicity)}
 
 ORACLE_SQL = {
     "op6_exact_dedup": r"""
