@@ -157,3 +157,56 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     return e.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
+
+
+def whole_groups(batches, keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """From batches sorted by `keys`: tables of whole groups, and the row offsets of the groups in each."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        table = table if held is None else pa.concat_tables([held, table])
+        starts = _group_starts(table, keys)
+        if starts[-1]:
+            yield table.slice(0, int(starts[-1])).combine_chunks(), starts
+        held = table.slice(int(starts[-1]))
+    if held is not None:
+        yield held.combine_chunks(), np.append(_group_starts(held, keys), held.num_rows)
+
+
+def _group_starts(table: pa.Table, keys: list[str]) -> np.ndarray:
+    new = np.zeros(table.num_rows, bool)
+    new[0] = True
+    for k in keys:
+        v = table.column(k).to_numpy()
+        new[1:] |= v[1:] != v[:-1]
+    return np.flatnonzero(new)
+
+
+def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The least index reachable from each of n items over links (a, b)."""
+    root = np.arange(n)
+    while len(a):
+        low = np.minimum(root[a], root[b])
+        before = root.copy()
+        np.minimum.at(root, a, low)
+        np.minimum.at(root, b, low)
+        np.minimum.at(root, before[a], low)
+        np.minimum.at(root, before[b], low)
+        root = root[root]
+        if (root == before).all():
+            break
+    return root
+
+
+def block_pairs(df: DataFrame, size, rows: int, key: str) -> DataFrame:
+    """Deal the members of groups of `size` rows into blocks of about `rows`, and send each to every pair of blocks (i <= j) it is in.
+
+    Any two members meet in exactly one pair of blocks, as `side` 0 (of block i) and 1 (of block j), or both 0 where i = j.
+    """
+    blocks = F.greatest(F.lit(1), F.ceil(size / rows)).cast("int")
+    own = F.pmod(F.xxhash64(key), F.col("__blocks")).cast("int")
+    df = df.withColumn("__blocks", blocks).withColumn("__own", own)
+    df = df.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
+    return df.select(*[c for c in df.columns if not c.startswith("__")], F.least("__own", "__other").alias("i"), F.greatest("__own", "__other").alias("j"), (F.col("__own") > F.col("__other")).cast("int").alias("side"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .common import read_table
+from .license_scan import oracle as license_oracle
 
 
 def word_vocabulary() -> str:
@@ -11,6 +12,12 @@ def word_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_ngram_join(spark, sf_dir):
+    from .ngram_join import ngram_join
+
+    return ngram_join(read_table(spark, sf_dir, "documents"))
+
+
 def op2_quality(spark, sf_dir):
     from .quality import quality
 
@@ -29,6 +36,18 @@ def op6_exact_dedup(spark, sf_dir):
     return exact_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op7_license_scan(spark, sf_dir):
+    from .license_scan import license_scan
+
+    return license_scan(read_table(spark, sf_dir, "documents"))
+
+
+def op8_mixing(spark, sf_dir):
+    from .mixing import mix
+
+    return mix(read_table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
 def op9_token_counts(spark, sf_dir):
     from .token_counts import token_counts
 
@@ -41,11 +60,12 @@ def op10_toxicity(spark, sf_dir):
     return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality, op5_packing, op6_exact_dedup, op9_token_counts, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_quality, op5_packing, op6_exact_dedup, op7_license_scan, op8_mixing, op9_token_counts, op10_toxicity)}
 
 ORACLE_SQL = {
     "op6_exact_dedup": r"""
         WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents WHERE doc_id IS NOT NULL)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
         FROM t WINDOW w AS (PARTITION BY norm)""",
+    "op7_license_scan": license_oracle(),
 }
