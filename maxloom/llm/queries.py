@@ -24,6 +24,12 @@ def op2_quality(spark, sf_dir):
     return quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op3_embed_dedup(spark, sf_dir):
+    from .embed_dedup import embed_dedup
+
+    return embed_dedup(read_table(spark, sf_dir, "embeddings"))
+
+
 def op5_packing(spark, sf_dir):
     from .packing import pack
 
@@ -60,9 +66,15 @@ def op10_toxicity(spark, sf_dir):
     return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_quality, op5_packing, op6_exact_dedup, op7_license_scan, op8_mixing, op9_token_counts, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_quality, op3_embed_dedup, op5_packing, op6_exact_dedup, op7_license_scan, op8_mixing, op9_token_counts, op10_toxicity)}
 
 ORACLE_SQL = {
+    "op3_embed_dedup": """
+        WITH RECURSIVE e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) >= 0.93),
+        r(id, root) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT p.b, r.root FROM r JOIN p ON r.id = p.a),
+        n AS (SELECT a, count(*) AS n FROM p GROUP BY a), c AS (SELECT id, min(root) AS root FROM r GROUP BY id)
+        SELECT vec_id, coalesce(n, 0) AS n_links, root AS component_id, root = vec_id AS kept FROM embeddings JOIN c ON id = vec_id LEFT JOIN n ON a = vec_id""",
     "op6_exact_dedup": r"""
         WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents WHERE doc_id IS NOT NULL)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
