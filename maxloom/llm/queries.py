@@ -30,6 +30,12 @@ def op3_embed_dedup(spark, sf_dir):
     return embed_dedup(read_table(spark, sf_dir, "embeddings"))
 
 
+def op4_suffix_dedup(spark, sf_dir):
+    from .suffix_dedup import suffix_dedup
+
+    return suffix_dedup(read_table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark, sf_dir):
     from .packing import pack
 
@@ -66,7 +72,7 @@ def op10_toxicity(spark, sf_dir):
     return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_quality, op3_embed_dedup, op5_packing, op6_exact_dedup, op7_license_scan, op8_mixing, op9_token_counts, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_quality, op3_embed_dedup, op4_suffix_dedup, op5_packing, op6_exact_dedup, op7_license_scan, op8_mixing, op9_token_counts, op10_toxicity)}
 
 ORACLE_SQL = {
     "op3_embed_dedup": """
