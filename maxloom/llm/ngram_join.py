@@ -194,8 +194,8 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     one = materialize(signed.join(reps, ["k", "doc_id"]).select("k", "sig", "prefixes").dropDuplicates(["k"]), "join-texts")
     places = one.select("k", F.explode("prefixes").alias("prefix"))
     groups = materialize(places.groupBy("prefix").agg(F.count("*").alias("size")).where("size > 1"), "join-prefixes")
-    # The signature is looked up before a group is dealt into blocks.
-    met = materialize(one.select("k", "sig", F.explode("prefixes").alias("prefix")).join(groups, "prefix"), "join-met")
+    # The signature is looked up only for texts that share a prefix, before their group is dealt into blocks.
+    met = materialize(places.join(groups.hint("merge"), "prefix").join(one.select("k", "sig").hint("merge"), "k"), "join-met")
     dealt = block_pairs(met, F.col("size"), BLOCK_ROWS, "k").repartition("prefix", "i", "j").sortWithinPartitions("prefix", "i", "j")
     edges = dealt.select("prefix", "i", "j", "side", "k", "sig").mapInArrow(_alike(similarity), "a long, b long")
     found = materialize(components(edges).withColumnRenamed("id", "k"), "join-candidates")
