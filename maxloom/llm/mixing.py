@@ -10,7 +10,8 @@ The mix ends at the first slot whose source has no block left (`in_mix` tells);
 DataFrame functions only. Rows are numbered inside (source, hash bucket), and buckets' offsets are added, so a source that
 holds a third of all rows is spread over all tasks. Broadcast: one period (at most MAX_PERIOD rows) and one row per source (at most
 MAX_SOURCES, else it raises). Null source is a source of its own; null ids are placed by their hash; rows equal in hash and id
-are told apart by what else they hold, or are equal, so ties are harmless; an empty table gives an empty result.
+are told apart by what else they hold, or are equal, so ties are harmless; columns named like the results (PLACED) are replaced; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ SEED = 20
 MAX_PERIOD = 10_000
 MAX_SOURCES = 1_000
 BUCKET_ROWS = 16_384
+PLACED = ("block", "place", "slot", "in_mix")
 
 
 def shares(counts: Mapping[str | None, int], weights: Mapping[str | None, float] | None, period: int) -> dict[str | None, int]:
@@ -68,7 +70,7 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, id_c
     slots = shares(counts, weights, period)
     names = sorted(slots, key=lambda s: (s is None, s or ""))
     if not names:
-        return docs.select("*", *[F.lit(None).cast("long").alias(c) for c in ("block", "place", "slot")], F.lit(False).alias("in_mix"))
+        return docs.select(*[c for c in docs.columns if c not in PLACED], *[F.lit(None).cast("long").alias(c) for c in ("block", "place", "slot")], F.lit(False).alias("in_mix"))
     one = spark.createDataFrame([(i, s, slots[s], -(-counts[s] // block_docs)) for i, s in enumerate(names)], "i int, s string, p long, blocks long")
     plan = spark.range(1).select(F.posexplode(F.expr(schedule_sql([slots[s] for s in names]))).alias("at", "i"))
     plan = plan.select("at", "i", (F.row_number().over(Window.partitionBy("i").orderBy("at")) - 1).cast("long").alias("j"))
@@ -76,23 +78,21 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, id_c
     ends = one.withColumn("j", F.col("blocks") % F.col("p")).join(F.broadcast(plan), ["i", "j"]).select(F.min(F.expr(f"blocks div p * {period} + at")).alias("end"))
     horizon = ends.first()["end"]
     bits = max(8, (sum(counts.values()) // BUCKET_ROWS).bit_length())
-    taken = set(docs.columns)
-    name = lambda c: c if c not in taken else f"__{c}"
-    h, bucket, before, number = (name(c) for c in ("h", "bucket", "before", "number"))
-    numbered = docs.withColumn(h, F.xxhash64(F.col(id_col), F.lit(seed))).withColumn(bucket, F.shiftrightunsigned(F.col(h), 64 - bits))
-    sizes = numbered.groupBy(F.col(source_col).alias("s"), F.col(bucket).alias("b")).count()
-    sizes = sizes.select("s", "b", (F.sum("count").over(Window.partitionBy("s").orderBy("b")) - F.col("count")).alias(before))
-    numbered = numbered.withColumn(number, F.row_number().over(Window.partitionBy(source_col, bucket).orderBy(h, id_col)) - 1)
-    sizes = sizes.withColumnRenamed("s", "__s")
-    numbered = numbered.join(sizes, F.col(source_col).eqNullSafe(F.col("__s")) & (F.col(bucket) == F.col("b")))
-    index = F.col(number) + F.col(before)
-    placed = numbered.select(*docs.columns, (F.expr(f"(`{number}` + `{before}`) div {block_docs}")).alias("block"), (index % block_docs).cast("long").alias("place"))
-    placed = placed.join(F.broadcast(one.select(F.col("s").alias("__s"), F.col("i").alias("__i"), F.col("p").alias("__p"))), F.col(source_col).eqNullSafe(F.col("__s")), "left")
+    source, own = F.col(source_col), Window.partitionBy("__s", "__bucket")
+    numbered = docs.withColumn("__s", source).withColumn("__h", F.xxhash64(F.col(id_col), F.lit(seed))).withColumn("__bucket", F.shiftrightunsigned(F.col("__h"), 64 - bits))
+    sizes = numbered.groupBy(F.col("__s").alias("__t"), F.col("__bucket").alias("__b")).agg(F.count("*").alias("__n"))
+    sizes = sizes.select("__t", "__b", (F.sum("__n").over(Window.partitionBy("__t").orderBy("__b")) - F.col("__n")).alias("__before"))
+    numbered = numbered.withColumn("__number", F.row_number().over(own.orderBy("__h", id_col)) - 1)
+    numbered = numbered.join(sizes, F.col("__s").eqNullSafe(F.col("__t")) & (F.col("__bucket") == F.col("__b")))
+    index = F.col("__number") + F.col("__before")
+    kept = [c for c in docs.columns if c not in PLACED]
+    placed = numbered.select(*kept, F.col("__s").alias("__source"), F.expr(f"(__number + __before) div {block_docs}").alias("block"), (index % block_docs).cast("long").alias("place"))
+    placed = placed.join(F.broadcast(one.select(F.col("s").alias("__s"), F.col("i").alias("__i"), F.col("p").alias("__p"))), F.col("__source").eqNullSafe(F.col("__s")), "left")
     placed = placed.join(F.broadcast(plan.select(F.col("i").alias("__pi"), F.col("j").alias("__j"), F.col("at").alias("__at"))), (F.col("__i") == F.col("__pi")) & (F.col("block") % F.col("__p") == F.col("__j")), "left")
     placed = placed.withColumn("slot", F.expr(f"block div __p * {period} + __at"))
-    return placed.select(*docs.columns, "block", "place", "slot", F.coalesce(F.col("slot") < horizon, F.lit(False)).alias("in_mix"))
+    return placed.select(*kept, "block", "place", "slot", F.coalesce(F.col("slot") < horizon, F.lit(False)).alias("in_mix"))
 
 
 def mixed(docs: DataFrame, weights: Mapping[str | None, float] | None = None, **options) -> DataFrame:
-    """The rows of the mix alone, with the columns of `docs`."""
+    """The rows of the mix alone, with the columns of `docs` (which are not named like the results)."""
     return mix(docs, weights, **options).where("in_mix").select(*docs.columns)

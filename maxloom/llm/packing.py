@@ -1,9 +1,9 @@
 """Packing by Karmarkar-Karp multiway differencing.
 
-Documents are encoded once; ids beyond the window size are cut into full windows, which are sequences of their own. The
-remainders, taken in blocks of about a million tokens inside each partition, are dealt over k windows: the two partial
-partitions with the largest spread are merged with opposing imbalances (largest part on smallest) until one is left, so the k
-windows are near equal. k starts at the least count that could hold the block and rises whenever a window exceeds its capacity.
+Documents are encoded once; full windows of a document are sequences of their own. The remainders, in pieces of at most PIECE
+ids and in blocks of about a million tokens inside each partition, are dealt over k windows: the two partial partitions with the
+largest spread are merged with opposing imbalances (largest part on smallest) until one is left, so the k windows are near
+equal. k starts at the least count that could hold the block and rises whenever a window exceeds its capacity.
 
 Narrow: no shuffle, and a lost executor's partition is packed again the same way. Null text is empty: one id, the end mark.
 Repeated rows, null ids and clashing extra columns change nothing; an empty table gives an empty result.
@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import byte_slices
 
 WINDOW = 4096
+#: Remainders are cut to this many ids, so that windows come out equal enough to be full.
+PIECE = 1024
 END_ID = 2
 BLOCK_TOKENS = 1 << 20
 BLOCK_PIECES = 4096
@@ -82,7 +84,7 @@ def windows(sizes: list[int], capacity: int) -> list[list[int]]:
         k += max(1, k // 200)
 
 
-def pack_pieces(tokenizer_path: str, capacity: int = WINDOW, end_id: int = END_ID):
+def pack_pieces(tokenizer_path: str, capacity: int = WINDOW, end_id: int = END_ID, piece: int = PIECE):
     """mapInArrow function: (doc_id, text) to one row per piece."""
 
     def run(batches):
@@ -114,9 +116,10 @@ def pack_pieces(tokenizer_path: str, capacity: int = WINDOW, end_id: int = END_I
             for part in byte_slices(batch, 1, BATCH_BYTES):
                 for doc, ids in zip(part.column(0).to_pylist(), encoder.ids(part.column(1)), strict=True):
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")
-                    for start in range(0, len(ids), capacity):
-                        own = ids[start : start + capacity]
-                        (full if len(own) == capacity else held).append((doc, start, len(own), zlib.crc32(own.tobytes()), len(ids)))
+                    whole = len(ids) // capacity * capacity
+                    for start in (*range(0, whole, capacity), *range(whole, len(ids), piece)):
+                        own = ids[start : start + (capacity if start < whole else piece)]
+                        (full if start < whole else held).append((doc, start, len(own), zlib.crc32(own.tobytes()), len(ids)))
                         tokens += len(own)
                     if tokens >= BLOCK_TOKENS or len(held) >= BLOCK_PIECES:
                         yield flush()

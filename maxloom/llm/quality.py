@@ -188,7 +188,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Trees:
     chosen = pool.orderBy("h", "doc_id").limit(TRAIN_ROWS)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("h", "text", "quality").mapInArrow(_measure, "h long, x array<double>, quality int").toArrow().sort_by("h")
     y = rows.column("quality").to_numpy().astype(float)
-    return fit(np.array(rows.column("x").to_pylist()).reshape(len(y), -1), y)
+    return fit(np.array(rows.column("x").to_pylist()), y)
 
 
 def _score(model: Trees):
