@@ -30,12 +30,12 @@ def query(select: str | None = None):
 
 
 def r(c: str | Column, name: str | None = None) -> Column:
-    """A score as it is shown: six decimals."""
-    return F.round(C.col(c), 6).alias(name or c)
+    """A score as it is shown: six decimals, and no negative zero."""
+    return (F.round(C.col(c), 6) + 0.0).alias(name or c)
 
 
 def rounded(df: DataFrame, *names: str) -> DataFrame:
-    return df.withColumns({n: F.round(n, 6) for n in names})
+    return df.withColumns({n: F.round(n, 6) + 0.0 for n in names})
 
 
 # Retrieval
