@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from maxloom.llm.common import materialize, read_table
 from maxloom.llm.exact_dedup import exact_dedup
-from maxloom.llm.mixing import mixed
+from maxloom.llm.mixing import mix as mix_rows
 from maxloom.llm.ngram_join import keep_one
 from maxloom.llm.packing import pack
 from maxloom.llm.quality import keep_good
@@ -37,8 +37,9 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    chosen = mixed(docs.select("doc_id", "source"))
-    return docs.select(*COLUMNS).join(materialize(chosen.select("doc_id").distinct(), "mix-chosen"), "doc_id", "left_semi")
+    # What is left out is far less than what stays, so that is what the texts are joined with.
+    left = mix_rows(docs.select("doc_id", "source")).where("NOT in_mix").select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(materialize(left, "mix-left"), "doc_id", "left_anti")
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
