@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -37,6 +40,24 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tidy() -> None:
+    """Give freed memory back to the system: workers are kept between tasks, and what they hold counts against the executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidied(run):
+    """A mapInArrow function that tidies up when its task ends."""
+
+    def tidying(batches):
+        yield from run(batches)
+        tidy()
+
+    return tidying
+
+
 def byte_slices(batch: pa.RecordBatch, column: int, most: int = PASS_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into zero-copy slices whose text is at most `most` bytes (or one row, if that alone is longer)."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_pairs, components, forest, materialize, whole_groups
+from .common import block_pairs, components, forest, materialize, tidied, whole_groups
 
 COSINE = 0.93
 TREES = 6
@@ -162,10 +162,10 @@ def embed_dedup(vectors: DataFrame, cosine: float = COSINE, trees: int = TREES,
     sample = [x for _, x in _unit(one.select("k", "v").orderBy(F.xxhash64("k", F.lit(SEED))).limit(SAMPLE).toArrow().column("v").combine_chunks())]
     widest = max(x.shape[1] for x in sample)
     fitted = grow(np.concatenate([np.pad(x, ((0, 0), (0, widest - x.shape[1]))) for x in sample]), largest, trees)
-    placed = materialize(one.select("k", "g", "v", "copies").mapInArrow(_place(fitted, spill), PLACED), "embed-placed")
+    placed = materialize(one.select("k", "g", "v", "copies").mapInArrow(tidied(_place(fitted, spill)), PLACED), "embed-placed")
     sizes = materialize(placed.groupBy("g", "leaf").agg(F.count("*").alias("size")).where("size > 1"), "embed-leaves")
     dealt = block_pairs(placed.join(sizes, ["g", "leaf"]), F.col("size"), BLOCK_ROWS, "k").repartition("g", "leaf", "i", "j").sortWithinPartitions("g", "leaf", "i", "j")
-    found = materialize(dealt.select("g", "leaf", "i", "j", "side", "k", "copies", "leaves", "v").mapInArrow(_compare(cosine), "k long, links long, low long"), "embed-links")
+    found = materialize(dealt.select("g", "leaf", "i", "j", "side", "k", "copies", "leaves", "v").mapInArrow(tidied(_compare(cosine)), "k long, links long, low long"), "embed-links")
     links = found.groupBy("k").agg(F.sum("links").alias("links"))
     classes = components(found.select(F.col("k").alias("a"), F.col("low").alias("b"))).withColumnRenamed("id", "k")
     labelled = materialize(one.join(classes, "k", "left").join(links, "k", "left").select("k", "vec_id", "copies", F.coalesce("root", "k").alias("root"), F.coalesce("links", F.lit(0)).alias("links")), "embed-labelled")

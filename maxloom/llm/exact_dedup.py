@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, materialize, text_bytes
+from .common import byte_slices, materialize, text_bytes, tidied
 
 PRIMES = (2147483647, 2147483629)
 BASES = (1103515245, 1566083941)
@@ -75,7 +75,7 @@ def _chunks(docs: DataFrame, keys: list[str]) -> DataFrame:
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm"))
-    prints = texts.select("doc_id", F.unhex(F.sha2(F.col("norm").cast("binary"), 256)).alias("sha"), "norm").mapInArrow(_fingerprints, "doc_id long, sha binary, print long, n_bytes long")
+    prints = texts.select("doc_id", F.unhex(F.sha2(F.col("norm").cast("binary"), 256)).alias("sha"), "norm").mapInArrow(tidied(_fingerprints), "doc_id long, sha binary, print long, n_bytes long")
     prints = materialize(prints, "dedup-prints")
     groups = prints.groupBy("print", "n_bytes").agg(F.count("*").alias("size"), F.min("doc_id").alias("rep"))
     groups = materialize(groups.where("size > 1"), "dedup-groups")

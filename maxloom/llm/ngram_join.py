@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_pairs, byte_slices, components, forest, materialize, mix64, row_sets, shingle_hashes, text_bytes, whole_groups
+from .common import block_pairs, byte_slices, components, forest, materialize, mix64, row_sets, shingle_hashes, text_bytes, tidied, whole_groups
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -188,7 +188,7 @@ def _verify(similarity: float):
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, recall: float = TARGET_RECALL, words: int = WORDS) -> DataFrame:
     """One row per document: doc_id, class_id (least doc_id linked, over any number of links), n_links (other documents linked directly), n_shingles."""
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
-    signed = materialize(texts.mapInArrow(_signatures(similarity, recall, words), "doc_id long, k long, n int, sig binary, prefixes array<long>"), "join-signed")
+    signed = materialize(texts.mapInArrow(tidied(_signatures(similarity, recall, words)), "doc_id long, k long, n int, sig binary, prefixes array<long>"), "join-signed")
     reps = materialize(signed.where("n > 0").groupBy("k").agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc_id")), "join-reps")
     # One signature per text: copies of a rep's id and key are equal in all else.
     one = materialize(signed.join(reps, ["k", "doc_id"]).select("k", "sig", "prefixes").dropDuplicates(["k"]), "join-texts")
@@ -197,14 +197,14 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # The signature is looked up only for texts that share a prefix, before their group is dealt into blocks.
     met = materialize(places.join(groups.hint("merge"), "prefix").join(one.select("k", "sig").hint("merge"), "k"), "join-met")
     dealt = block_pairs(met, F.col("size"), BLOCK_ROWS, "k").repartition("prefix", "i", "j").sortWithinPartitions("prefix", "i", "j")
-    edges = dealt.select("prefix", "i", "j", "side", "k", "sig").mapInArrow(_alike(similarity), "a long, b long")
+    edges = dealt.select("prefix", "i", "j", "side", "k", "sig").mapInArrow(tidied(_alike(similarity)), "a long, b long")
     found = materialize(components(edges).withColumnRenamed("id", "k"), "join-candidates")
     sizes = materialize(found.groupBy("root").agg(F.count("*").alias("size")), "join-sizes")
     found = materialize(found.join(sizes, "root").join(reps, "k"), "join-found")
     wanted = texts.join(found.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
-    sets = materialize(wanted.mapInArrow(_sets(words), "k long, shingles binary").dropDuplicates(["k"]).join(found, "k"), "join-sets")
+    sets = materialize(wanted.mapInArrow(tidied(_sets(words)), "k long, shingles binary").dropDuplicates(["k"]).join(found, "k"), "join-sets")
     dealt = block_pairs(sets, F.col("size"), BLOCK_ROWS, "k").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
-    checked = materialize(dealt.select("root", "i", "j", "side", "k", "copies", "shingles").mapInArrow(_verify(similarity), "k long, links long, low long"), "join-checked")
+    checked = materialize(dealt.select("root", "i", "j", "side", "k", "copies", "shingles").mapInArrow(tidied(_verify(similarity)), "k long, links long, low long"), "join-checked")
     links = checked.groupBy("k").agg(F.sum("links").alias("links"))
     classes = components(checked.select(F.col("k").alias("a"), F.col("low").alias("b")).where("a <> b")).withColumnRenamed("id", "k")
     labelled = materialize(reps.join(classes, "k", "left").join(links, "k", "left").select("k", "doc_id", "copies", F.coalesce("root", "k").alias("root"), F.coalesce("links", F.lit(0)).alias("links")), "join-labelled")

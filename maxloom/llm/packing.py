@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices
+from .common import byte_slices, tidied
 
 WINDOW = 4096
 #: Remainders are cut to this many ids, so that windows come out equal enough to be full.
@@ -133,4 +133,4 @@ NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 
 
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = WINDOW, end_id: int = END_ID) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(pack_pieces(tokenizer_path, capacity, end_id), SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidied(pack_pieces(tokenizer_path, capacity, end_id)), SCHEMA)

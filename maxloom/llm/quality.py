@@ -11,6 +11,7 @@ so nothing is rejected unlearned). Null ids are scored too; extra columns, repea
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, mix64, row_sets, shingle_hashes, text_bytes, word_spans
+from .common import byte_slices, mix64, row_sets, shingle_hashes, text_bytes, tidied, tidy, word_spans
 
 TRAIN_ROWS = 20_000
 TREES = 120
@@ -26,6 +27,8 @@ DEPTH = 4
 RATE = 0.12
 BINS = 64
 THRESHOLD = 0.3
+#: Text bytes per numpy pass; working arrays are over a hundred times as large.
+PASS_BYTES = 512 << 10
 
 # Byte classes: 0 other, 1 a-z, 2 A-Z, 3 digit, 4 space, 5 line end, 6 full stop, 7 comma, 8 ! or ?, 9 | or /, 10 other ASCII mark, 11 first byte of a character beyond ASCII, 12 later byte of one.
 CLASSES = 13
@@ -178,7 +181,7 @@ def held_out(doc_id):
 
 def _measure(batches):
     for batch in batches:
-        for part in byte_slices(batch, 1):
+        for part in byte_slices(batch, 1, PASS_BYTES):
             rows = statistics(part.column(1))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(rows), pa.list_(pa.float64())), part.column(2)], ["h", "x", "quality"])
 
@@ -186,7 +189,7 @@ def _measure(batches):
 def train(docs: DataFrame, labels: DataFrame) -> Trees:
     pool = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality")).withColumn("h", F.xxhash64("doc_id"))
     chosen = pool.orderBy("h", "doc_id").limit(TRAIN_ROWS)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("h", "text", "quality").mapInArrow(_measure, "h long, x array<double>, quality int").toArrow().sort_by("h")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("h", "text", "quality").mapInArrow(tidied(_measure), "h long, x array<double>, quality int").toArrow().sort_by("h")
     y = rows.column("quality").to_numpy().astype(float)
     return fit(np.array(rows.column("x").to_pylist()), y)
 
@@ -194,7 +197,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Trees:
 def _score(model: Trees):
     def run(batches):
         for batch in batches:
-            for part in byte_slices(batch, 1):
+            for part in byte_slices(batch, 1, PASS_BYTES):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.score(statistics(part.column(1))))], ["doc_id", "score"])
 
     return run
@@ -203,19 +206,19 @@ def _score(model: Trees):
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of `docs` (doc_id, text) by `labels` (doc_id, quality)."""
     model = train(docs, labels)
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_score(model), "doc_id long, score double")
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(_score(model)), "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of `docs`, all columns, that the classifier does not reject: one pass, no join."""
+    """The rows of `docs`, all columns, that the classifier does not reject: one pass, no join; only texts go to Python."""
     model = train(docs, labels)
-    place = docs.columns.index("text")
 
-    def run(batches):
-        for batch in batches:
-            for part in byte_slices(batch, place):
-                keep = model.score(statistics(part.column(place))) >= threshold
-                yield part.filter(pa.array(keep))
+    @F.arrow_udf("boolean")
+    def good(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in texts:
+            batch = pa.RecordBatch.from_arrays([column], ["text"])
+            yield pa.array(np.concatenate([model.score(statistics(part.column(0))) >= threshold for part in byte_slices(batch, 0, PASS_BYTES)] or [np.empty(0, bool)]))
+        tidy()
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(good("text"))

@@ -75,6 +75,16 @@ def op10_toxicity(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_quality, op3_embed_dedup, op4_suffix_dedup, op5_packing, op6_exact_dedup, op7_license_scan, op8_mixing, op9_token_counts, op10_toxicity)}
 
 ORACLE_SQL = {
+    "op1_ngram_join": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9\x{80}-\x{10FFFF}]+'), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL),
+        i AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0),
+        g AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g FROM i),
+        n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+        c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+        p AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE o >= 0.8 * (x.n + y.n - o)),
+        r(id, root) AS (SELECT doc_id, doc_id FROM documents WHERE doc_id IS NOT NULL UNION SELECT p.b, r.root FROM r JOIN p ON r.id = p.a),
+        l AS (SELECT a, count(*) AS n_links FROM p GROUP BY a), k AS (SELECT id, min(root) AS class_id FROM r GROUP BY id)
+        SELECT w.doc_id, class_id, coalesce(n_links, 0) AS n_links, coalesce(n.n, 0) AS n_shingles FROM w JOIN k ON k.id = w.doc_id LEFT JOIN n USING (doc_id) LEFT JOIN l ON a = w.doc_id""",
     "op3_embed_dedup": """
         WITH RECURSIVE e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
         p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) >= 0.93),

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import _rolled, runs
-from .common import _LETTER, byte_slices, materialize, mix64, text_bytes, whole_groups
+from .common import byte_slices, _LETTER, materialize, mix64, text_bytes, tidied, whole_groups
 from .induced import repeated_starts
 
 SPAN = 400
@@ -225,13 +225,13 @@ def _listed(windows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def _hot_stretches(texts: DataFrame, windows: DataFrame, span: int) -> DataFrame:
-    cut = materialize(windows.mapInArrow(_slices(span, SLICE), "doc_id long, h long, once boolean, start int, count int, key long, content long"), "repeat-slices")
+    cut = materialize(windows.mapInArrow(tidied(_slices(span, SLICE)), "doc_id long, h long, once boolean, start int, count int, key long, content long"), "repeat-slices")
     same = materialize(cut.groupBy("key", "content").agg(F.count("*").alias("n"), F.max(~F.col("once")).alias("again")), "repeat-slice-texts")
     tied = materialize(same.groupBy("key").agg(F.count("*").alias("texts")).where("texts > 1"), "repeat-slice-ties")
     whole = cut.join(same.where("n > 1 OR again"), ["key", "content"]).where("once").select("doc_id", "h", "start", "count")
     # One row of each text that is tied: all rows of once-windows, and a row of the others, which stand for strings that occur elsewhere.
     rest = materialize(cut.join(tied.select("key"), "key").select("doc_id", "h", "start", "count"), "repeat-tied")
-    single = materialize(texts.join(_listed(rest, ["start", "count"]), ["doc_id", "h"]).mapInArrow(_singles(span), "doc_id long, h long, start int, print long"), "repeat-singles")
+    single = materialize(texts.join(_listed(rest, ["start", "count"]), ["doc_id", "h"]).mapInArrow(tidied(_singles(span)), "doc_id long, h long, start int, print long"), "repeat-singles")
     again = materialize(single.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print"), "repeat-prints")
     return whole.unionByName(single.join(again, "print").select("doc_id", "h", "start", F.lit(1).alias("count")))
 
@@ -239,7 +239,7 @@ def _hot_stretches(texts: DataFrame, windows: DataFrame, span: int) -> DataFrame
 def suffix_dedup(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, shard_bytes: int = SHARD_BYTES, queue_bytes: int = QUEUE_BYTES) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    listed = materialize(texts.where(F.octet_length("text") >= span).mapInArrow(_list_runs(span), _RUNS), "repeat-runs")
+    listed = materialize(texts.where(F.octet_length("text") >= span).mapInArrow(tidied(_list_runs(span)), _RUNS), "repeat-runs")
     anchors = materialize(listed.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "repeat-anchors")
     listed = materialize(listed.join(anchors.hint("merge"), "anchor"), "repeat-candidates")
     first = F.min(F.struct("doc_id", "h", "start", "count", "place")).alias("first")
@@ -249,12 +249,12 @@ def suffix_dedup(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text
     todo = windows.join(shared.hint("merge"), "anchor").select("anchor", (F.col("n") == 1).alias("once"), "first.*", (F.col("texts") > hot).alias("hot"))
     todo = materialize(todo, "repeat-todo")
     wanted = _listed(todo, _names(_CUT)[2:-1])
-    cut = texts.join(wanted.hint("merge"), ["doc_id", "h"]).select("doc_id", "h", "text", "windows").mapInArrow(_cut(span), _CUT)
+    cut = texts.join(wanted.hint("merge"), ["doc_id", "h"]).select("doc_id", "h", "text", "windows").mapInArrow(tidied(_cut(span)), _CUT)
     cut = materialize(cut, "repeat-cut")
     dealt = cut.where("NOT hot").select("doc_id", "h", "start", "count", "anchor", "once", "bytes").repartition("anchor").sortWithinPartitions("anchor")
-    repeated = whole.unionByName(dealt.mapInArrow(_sort_shards(span, shard_bytes, queue_bytes), "doc_id long, h long, start int, count int"))
+    repeated = whole.unionByName(dealt.mapInArrow(tidied(_sort_shards(span, shard_bytes, queue_bytes)), "doc_id long, h long, start int, count int"))
     if not todo.where("hot").isEmpty():
         repeated = repeated.unionByName(_hot_stretches(texts, cut.where("hot"), span))
     stretches = _listed(repeated, ["start", "count"])
     out = texts.join(stretches.hint("merge"), ["doc_id", "h"], "left").select("doc_id", "text", "windows")
-    return out.mapInArrow(_finish(span), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return out.mapInArrow(tidied(_finish(span)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -18,8 +18,8 @@ _PIECE = rf"'s|'t|'re|'ve|'m|'ll|'d|\pL+|\pN|[^{_SPACE}\pL\pN]+"
 _ODD = r"[^\x00-\x{24F}]|\x{130}|<\|"
 #: Words kept between batches; beyond it only the commonest stay, so memory is bounded.
 #: Text bytes per batch that suit it.
-BATCH_BYTES = 8 << 20
-CACHE_WORDS = 200_000
+BATCH_BYTES = 4 << 20
+CACHE_WORDS = 120_000
 
 
 def load(path: str):
