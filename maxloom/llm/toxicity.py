@@ -24,18 +24,19 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, text_bytes, word_spans
+from .common import byte_slices, text_bytes, tidied, word_spans
 
 TRAIN_TOXIC = 4000
 TRAIN_ORDINARY = 6000
 TRAIN_BYTES = 16384
 ORDINARY_WORDS = 30000
 #: A toxic word's rate of neighbourhoods against its rate in ordinary text.
-RATIO = 45.0
-LEVEL = zstandard.ZstdCompressionParameters.from_level(3, window_log=19, min_match=4, write_content_size=0, write_checksum=0, write_dict_id=0)
+RATIO = 90.0
+#: Compression levels of windows and of single words.
+LEVELS = (3, 16)
 WINDOW_WORDS = 3
 #: Windows that save so many bytes are compressed again word by word.
-LOOK_AGAIN = 2
+LOOK_AGAIN = 1
 SAVINGS = (3, 5, 7, 9)
 FEATURES = 3 + len(SAVINGS)
 THRESHOLD = 0.7
@@ -84,16 +85,18 @@ class Scorer:
     def __init__(self, ordinary: bytes, toxic: bytes, lead: bytes):
         self.lead = np.frombuffer(lead, np.uint8)
         self.compressors = []
-        for content in (ordinary, toxic):
-            made = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            made.precompute_compress(compression_params=LEVEL)
-            self.compressors.append(zstandard.ZstdCompressor(dict_data=made, compression_params=LEVEL))
+        for level in LEVELS:
+            how = zstandard.ZstdCompressionParameters.from_level(level, window_log=19, min_match=4, write_content_size=0, write_checksum=0, write_dict_id=0)
+            for content in (ordinary, toxic):
+                made = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                made.precompute_compress(compression_params=how)
+                self.compressors.append(zstandard.ZstdCompressor(dict_data=made, compression_params=how))
 
     def _lengths(self, compressor, data: bytes, segments: np.ndarray) -> np.ndarray:
         out = compressor.multi_compress_to_buffer(zstandard.BufferWithSegments(data, segments.tobytes()), threads=1)
         return np.fromiter(map(len, out), np.int64, len(segments))
 
-    def savings(self, flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    def savings(self, flat: np.ndarray, begin: np.ndarray, size: np.ndarray, level: int) -> np.ndarray:
         """Bytes that the toxic dictionary saves on each window: lead-in, one space, flat[begin : begin + size], one space."""
         lead = len(self.lead)
         whole = size + lead + 2
@@ -103,7 +106,8 @@ class Scorer:
         inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
         data[np.repeat(to + lead + 1, size) + inner] = flat[np.repeat(begin, size) + inner]
         raw, segments = data.tobytes(), np.stack([to, whole], 1).astype(np.uint64)
-        return self._lengths(self.compressors[0], raw, segments) - self._lengths(self.compressors[1], raw, segments)
+        ordinary, toxic = self.compressors[2 * level : 2 * level + 2]
+        return self._lengths(ordinary, raw, segments) - self._lengths(toxic, raw, segments)
 
     def features(self, texts: pa.Array) -> np.ndarray:
         """Per text: FEATURES of its windows, then of the single words of the windows that saved bytes."""
@@ -124,11 +128,11 @@ class Scorer:
         head = np.flatnonzero(nth % WINDOW_WORDS == 0)
         begin, row = starts[head], word_row[head]
         end = np.minimum(np.append(begin[1:], len(flat)), at[row + 1])
-        saved = self.savings(flat, begin, end - begin)
+        saved = self.savings(flat, begin, end - begin, 0)
         out[:, :FEATURES] = _summed(saved, row, n)
         again = np.repeat(saved >= LOOK_AGAIN, np.diff(np.append(head, len(starts))))
         if again.any():
-            out[:, FEATURES:] = _summed(self.savings(flat, starts[again], (word_end - starts)[again]), word_row[again], n)
+            out[:, FEATURES:] = _summed(self.savings(flat, starts[again], (word_end - starts)[again], 1), word_row[again], n)
         return np.clip(out, -12, 20)
 
 
@@ -213,5 +217,5 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[pa.Array, np.ndar
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of `docs` (doc_id, text) by `labels` (doc_id, toxic)."""
     model = train(*training_rows(docs, labels))
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_score(model), "doc_id long, score double")
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(_score(model)), "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
