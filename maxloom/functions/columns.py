@@ -166,3 +166,31 @@ def standardised(values: dict[str, Column], means: dict[str, float], stds: dict[
 
 def sigmoid(x: Column) -> Column:
     return F.when(x >= 0, 1 / (1 + F.exp(-x))).otherwise(F.exp(x) / (1 + F.exp(x)))
+
+
+def numbers_in(text) -> Column:
+    """Numbers among a text's words, thousands commas allowed in whole ones; zeros are left out."""
+    words = F.filter(F.split(col(text), r"\s+"), lambda w: w != "")
+    whole = lambda w: F.when(F.replace(w, F.lit(","), F.lit("")).rlike(r"^[+-]?\d+$"), F.replace(w, F.lit(","), F.lit("")))
+    value = lambda w: F.coalesce(whole(w), F.when(w.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), w)).try_cast("double")
+    return F.filter(F.transform(words, value), lambda x: x.isNotNull() & (x != 0))
+
+
+def safe_name(text) -> Column:
+    """A text made fit for a file name."""
+    return F.regexp_replace(F.trim(col(text)), r"[^A-Za-z0-9._-]+", "_")
+
+
+def run_mode(name) -> Column:
+    """The retrieval mode that a run's folder name tells."""
+    text = F.lower(col(name))
+    return F.when(text.contains("two_stage"), "two_stage").when(text.contains("exact"), "exact").otherwise("ann")
+
+
+def run_token_filter(name) -> Column:
+    text = F.lower(col(name))
+    return F.when(text.contains("semantic_only"), "semantic_only").when(text.contains("drop_pad"), "drop_pad_like").otherwise("full")
+
+
+def run_qid(name) -> Column:
+    return F.regexp_extract(col(name), r"(?:^|[_/])qid[_=]?([A-Za-z0-9]+)", 1)

@@ -294,3 +294,40 @@ def winner_counts(scores: DataFrame) -> DataFrame:
     wins = scores.where("active").groupBy(*KEY, "q_idx").agg(F.max(F.struct("s", (-F.col("token_idx")).alias("t"))).alias("b"))
     wins = wins.groupBy(*KEY, (-F.col("b.t")).alias("token_idx")).agg(F.count("*").alias("wins"))
     return scores.select(*TOKEN).distinct().join(wins, TOKEN, "left").select(*TOKEN, F.coalesce("wins", F.lit(0)).cast("long").alias("wins"))
+
+
+# selectors' other names.
+ALIASES = {"mmr": "redundancy_aware", "maxsim_preserving": "maxsim_greedy"}
+
+
+def select_tokens(selector: str, k: int, coarse: DataFrame, scores: DataFrame, pages: DataFrame | None = None, **options) -> DataFrame:
+    """Any selector by name: TOKEN, coarse of the tokens that stay."""
+    name = ALIASES.get(selector, selector)
+    visual = lambda: visual_query_scores(scores)
+    makers = {
+        "global_topk": lambda: nonspatial(coarse, k, **options),
+        "spatial_quadrant_mix": lambda: quadrant_mix(coarse, k, **options),
+        "query_label_mix": lambda: label_mix(coarse, visual(), k, **options),
+        "soft_label_prior": lambda: soft_label_prior(coarse, visual(), k, **options),
+        "visual_patch_query_prior": lambda: soft_label_prior(coarse, visual(), k, patches_only=True, **options),
+        "query_coverage_mix": lambda: coverage_mix(coarse, scores, k, **options),
+        "redundancy_aware": lambda: mmr(coarse, pages, k, **options),
+        "maxsim_greedy": lambda: greedy_maxsim(coarse, scores, k, **options),
+        "learned_token_topk": lambda: global_topk(coarse, k, options["score"]),
+        "adaptive": lambda: adaptive_topk(coarse, **options),
+    }
+    if name not in makers:
+        raise ValueError(f"no token selector {selector!r}")
+    return makers[name]().select(*TOKEN, "coarse")
+
+
+def selector_recall(ranked_tokens: DataFrame, wins: DataFrame, k: int) -> DataFrame:
+    """Per page: the share of winning query tokens whose winner is among the first k of `place`."""
+    both = ranked_tokens.select(*TOKEN, "place").join(wins, TOKEN)
+    return both.groupBy(*KEY).agg((F.sum(F.when(F.col("place") <= k, F.col("wins")).otherwise(0)) / F.sum("wins")).alias("recall"))
+
+
+def moments(features: DataFrame, names: list[str]) -> DataFrame:
+    """Mean and population deviation (at least 1e-3, as the root of a variance of 1e-6) of feature columns, a row per feature."""
+    one = features.agg(*[F.struct(F.avg(n).alias("mean"), F.sqrt(F.greatest(F.var_pop(n), F.lit(1e-6))).alias("std")).alias(n) for n in names])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n)["mean"].alias("mean"), F.col(n)["std"].alias("std")) for n in names])).alias("m")).select("m.*")

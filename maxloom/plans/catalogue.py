@@ -12,6 +12,7 @@ from ..operators import analysis, channels, corpus, evaluation, pruning, ranking
 from ..operators.taxonomy import taxonomy
 from ..sources.fixtures import Fixture
 from .prelude import oracle
+from .retrieve import RerankConfig, RetrievalConfig, explanations as explain, inspect_pages as inspect, rerank, retrieve
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -358,7 +359,7 @@ def visual_prefilter_exact(f):
     return ranking.prefilter_cascade(channels.page_features(f.scores), f.exact, 30, 8).select(*PAGE, r("exact_score"), "rank")
 
 
-@query("SELECT qid, combo, w_visual, w_balance, first_gold, hits4, hits10, row_number() OVER (PARTITION BY qid ORDER BY (coalesce(first_gold, 1e12) > 4)::INT, coalesce(first_gold, 1e12), hits4 DESC, hits10 DESC, combo) AS place FROM (SELECT qid, combo, w_visual, w_balance, min(rank) FILTER (g) AS first_gold, count(*) FILTER (g AND rank <= 4) AS hits4, count(*) FILTER (g AND rank <= 10) AS hits10 FROM (SELECT *, row_number() OVER (PARTITION BY qid, combo ORDER BY b.f DESC, b.base DESC, doc_id) AS rank, EXISTS (SELECT 1 FROM gold WHERE gold.qid = d.qid AND gold.doc_id = d.doc_id) AS g FROM (SELECT qid, combo, w_visual, w_balance, doc_id, max({'f': base + w_visual * visual + w_balance * balance, 'base': base}) AS b FROM ft, (VALUES (0, 0.0, 0.0), (1, 0.0, 8.0), (2, 1.0, 0.0), (3, 1.0, 8.0)) c(combo, w_visual, w_balance) GROUP BY ALL) d) GROUP BY ALL) QUALIFY place <= 3")
+@query("SELECT qid, combo, w_visual, w_balance, first_gold, hits4, hits10, row_number() OVER (PARTITION BY qid ORDER BY (coalesce(first_gold, 1e12) > 4)::INT, coalesce(first_gold, 1e12), hits4 DESC, hits10 DESC, combo) AS place FROM (SELECT qid, combo, w_visual, w_balance, min(rank) FILTER (g) AS first_gold, count(*) FILTER (g AND rank <= 4) AS hits4, count(*) FILTER (g AND rank <= 10) AS hits10 FROM (SELECT *, row_number() OVER (PARTITION BY qid, combo ORDER BY b.f DESC, b.base DESC, doc_id) AS rank, EXISTS (SELECT 1 FROM gold WHERE gold.qid = d.qid AND gold.doc_id = d.doc_id) AS g FROM (SELECT qid, combo, w_visual, w_balance, doc_id, max({'f': base + w_visual * visual + w_balance * balance, 'base': base}) AS b FROM ft, (VALUES (0::BIGINT, 0::DOUBLE, 0::DOUBLE), (1, 0, 8), (2, 1, 0), (3, 1, 8)) c(combo, w_visual, w_balance) GROUP BY ALL) d) GROUP BY ALL) QUALIFY place <= 3")
 def weight_grid_search(f):
     out = ranking.weight_grid(channels.page_features(f.scores), f.gold, {"base": [1], "visual": [0, 1], "non_visual": [0], "balance": [0, 8]}, top=3)
     return out.select("qid", "combo", "w_visual", "w_balance", "first_gold", "hits4", "hits10", "place")
@@ -642,3 +643,51 @@ def token_labels(f):
 def rank_window(f):
     uids = f.run_exact.where(F.col("rank").between(3, 7)).select("qid", "rank", C.page_uid().alias("uid"))
     return uids.select("*", C.uid_doc("uid").alias("doc_id"), C.uid_page("uid").alias("page_idx"))
+
+
+# Whole plans and what is left
+
+
+@query("SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id, page_idx) AS rank, doc_id, page_idx, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid, doc_id ORDER BY score DESC, page_idx) AS i FROM (SELECT qid, doc_id, page_idx, sum(m) AS score FROM (SELECT qid, q_idx, doc_id, page_idx, max(s) AS m FROM sc WHERE raw_token NOT IN ('<pad>', '<bos>', '<eos>') GROUP BY ALL) GROUP BY ALL)) WHERE i = 1 QUALIFY rank <= 3")
+def retrieve_one_page_per_doc(f):
+    config = RetrievalConfig(mode="exact", k=3, token_filter="drop_pad_like", one_page_per_doc=True)
+    return retrieve(f.pages, f.queries, config).select("qid", "rank", "doc_id", "page_idx", r("score"))
+
+
+@query("SELECT qid, doc_id, page_idx, round(base, 6) AS base, round(base + visual + 8 * balance, 6) AS fused, row_number() OVER (PARTITION BY qid ORDER BY base + visual + 8 * balance DESC, base DESC, visual DESC, non_visual DESC, doc_id, page_idx) AS rank FROM (SELECT ft.* EXCLUDE (base), CASE WHEN p.rank <= 10 THEN ex.score ELSE p.score END AS base FROM ft JOIN run_p p USING (qid, doc_id, page_idx) JOIN ex USING (qid, doc_id, page_idx))")
+def rerank_pipeline(f):
+    pages, _ = rerank(f.pages, f.queries, RerankConfig(selector_k=4, weights=WEIGHTS, refresh_pages=10))
+    return pages.select(*PAGE, r("base"), r("fused"), "rank")
+
+
+@query()
+def page_explanations(f):
+    return explain(f.scores, f.run_exact)
+
+
+@query("SELECT qid, doc_id || '_page' || page_idx AS uid, mode, rank AS prefilter_rank, round(p, 6) AS primary FROM (SELECT *, row_number() OVER (PARTITION BY qid, mode ORDER BY p DESC, multi_anchor DESC, confirmed DESC, visual DESC, grounded DESC, base DESC, doc_id || '_page' || page_idx DESC) AS rank FROM (SELECT *, 'visual_only' AS mode, visual AS p FROM ft UNION ALL SELECT *, 'non_visual_only', non_visual FROM ft)) WHERE doc_id || '_page' || page_idx IN ('d0_page0', 'd3_page2')")
+def inspect_pages(f):
+    return inspect(channels.page_features(f.scores), ["d0_page0", "d3_page2"], ["visual_only", "non_visual_only"]).withColumn("primary", r("primary"))
+
+
+@query("SELECT qid, doc_id, page_idx, round(sum(CASE WHEN place <= 4 THEN wins ELSE 0 END) / sum(wins), 6) AS recall FROM cr JOIN (SELECT qid, doc_id, page_idx, w AS token_idx, count(*) AS wins FROM (SELECT qid, doc_id, page_idx, q_idx, arg_max(token_idx, (s, -token_idx)) AS w FROM sc WHERE active GROUP BY ALL) GROUP BY ALL) USING (qid, doc_id, page_idx, token_idx) GROUP BY qid, doc_id, page_idx")
+def selector_recall(f):
+    return rounded(pruning.selector_recall(pruning.best_first(_coarse(f)), pruning.winner_counts(f.scores), 4), "recall")
+
+
+@query("SELECT unnest(['base', 'visual']) AS feature, unnest([round(avg(base), 6), round(avg(visual), 6)]) AS mean, unnest([round(sqrt(greatest(var_pop(base), 1e-6)), 6), round(sqrt(greatest(var_pop(visual), 1e-6)), 6)]) AS std FROM ft")
+def feature_moments(f):
+    return rounded(pruning.moments(channels.page_features(f.scores), ["base", "visual"]), "mean", "std")
+
+
+@query("SELECT word, count(DISTINCT qid) AS queries FROM (SELECT qid, replace(raw_token, '▁', '') AS word FROM qt WHERE qclass = 'visual' AND raw_token LIKE '▁%') GROUP BY word")
+def router_vocabulary(f):
+    return routing.vocabulary(_features(f))
+
+
+@query("SELECT qid, gain, CASE WHEN first_doc <= 2 THEN 'strong' WHEN first_doc <= 4 AND anchored THEN 'borderline' WHEN gain >= 100 THEN 'useful_but_not_reliable' ELSE 'weak' END AS verdict FROM (SELECT e.qid, e.first_doc, b.first_doc - e.first_doc AS gain, EXISTS (SELECT 1 FROM an WHERE an.qid = e.qid) AS anchored FROM fg_e e JOIN fg_b b USING (qid))")
+def reliability_audit(f):
+    base, exact = _both(f)
+    anchored = channels.anchors(f.scores).select("qid").distinct().withColumn("grounded", F.lit(True))
+    both = exact.select("qid", F.col("first_doc").alias("rank")).join(base.select("qid", F.col("first_doc").alias("b")), "qid").join(anchored, "qid", "left").fillna(False, ["grounded"])
+    return routing.audit(both.withColumn("gain", F.col("b") - F.col("rank")), 2).select("qid", "gain", "verdict")
