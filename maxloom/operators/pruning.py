@@ -297,7 +297,7 @@ def winner_counts(scores: DataFrame) -> DataFrame:
 
 
 # selectors' other names.
-ALIASES = {"mmr": "redundancy_aware", "maxsim_preserving": "maxsim_greedy"}
+ALIASES = {"query_coverage_topk": "query_coverage_mix", "learned_exact_winner_topk": "learned_token_topk"}
 
 
 def select_tokens(selector: str, k: int, coarse: DataFrame, scores: DataFrame, pages: DataFrame | None = None, **options) -> DataFrame:
@@ -311,7 +311,7 @@ def select_tokens(selector: str, k: int, coarse: DataFrame, scores: DataFrame, p
         "soft_label_prior": lambda: soft_label_prior(coarse, visual(), k, **options),
         "visual_patch_query_prior": lambda: soft_label_prior(coarse, visual(), k, patches_only=True, **options),
         "query_coverage_mix": lambda: coverage_mix(coarse, scores, k, **options),
-        "redundancy_aware": lambda: mmr(coarse, pages, k, **options),
+        "redundancy_aware_topk": lambda: mmr(coarse, pages, k, **options),
         "maxsim_greedy": lambda: greedy_maxsim(coarse, scores, k, **options),
         "learned_token_topk": lambda: global_topk(coarse, k, options["score"]),
         "adaptive": lambda: adaptive_topk(coarse, **options),

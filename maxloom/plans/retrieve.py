@@ -96,11 +96,9 @@ def inspect_pages(features: DataFrame, uids: list[str], modes: list[str]) -> Dat
 
 
 def closest_grid(width: int, height: int, most: int = 6, tile: int = 448) -> tuple[int, int]:
-    """Columns and rows of tiles nearest an image's aspect ratio; of equally near ones the larger if the image is large enough to fill half of it."""
-    grids = sorted({(i, j) for n in range(1, most + 1) for i in range(1, n + 1) for j in range(1, n + 1) if 1 <= i * j <= most}, key=lambda g: g[0] * g[1])
-    best, gap = (1, 1), float("inf")
-    for i, j in grids:
-        far = abs(width / height - i / j)
-        if far < gap or (far == gap and width * height > 0.5 * tile * tile * i * j):
-            best, gap = (i, j), far
-    return best
+    """Columns and rows of at most `most` tiles, nearest an image's aspect ratio; of equally near ones the largest that the image fills half of, else the smallest."""
+    grids = [(i, j) for i in range(1, most + 1) for j in range(1, most // i + 1)]
+    gap = {g: abs(width / height - g[0] / g[1]) for g in grids}
+    nearest = sorted((g for g in grids if gap[g] == min(gap.values())), key=lambda g: g[0] * g[1])
+    filled = [g for g in nearest if width * height > tile * tile * g[0] * g[1] / 2]
+    return filled[-1] if filled else nearest[0]

@@ -262,3 +262,25 @@ def test_streaming_goes_on_where_it_ended(spark, tmp_path):
     kpis = runs.windowed_kpis(runs.run_stream(spark, source, "qid long, rank long, ts timestamp"), late="0 seconds")
     runs.append(kpis, str(tmp_path / "k"), str(tmp_path / "kc")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "k")).where("hour(start) = 0").count() <= 1
+
+
+def test_whole_plans(spark, small):
+    from maxloom.plans import retrieve as plans
+
+    pages, queries, _, _ = small
+    queries = queries.withColumns({"raw_token": F.concat(F.lit("▁w"), "q_idx"), "qclass": F.lit("visual")})
+    exact = {(x["qid"], x["rank"]): (x["doc_id"], x["page_idx"]) for x in plans.retrieve(pages, queries, plans.RetrievalConfig(k=3)).collect()}
+    for mode in (plans.RetrievalConfig("two_stage", 3, 36, 6), plans.RetrievalConfig("ann", 3, 36)):
+        assert {(x["qid"], x["rank"]): (x["doc_id"], x["page_idx"]) for x in plans.retrieve(pages, queries, mode).collect()} == exact
+    with pytest.raises(ValueError):
+        plans.retrieve(pages, queries, plans.RetrievalConfig("other"))
+    page = pages.withColumns({"n": F.lit(6), "side": F.lit(2), "patch_idx": F.when(F.col("token_idx") < 4, F.col("token_idx")), "pclass": F.when(F.col("token_idx") % 2 == 0, "visual").otherwise("non_visual")})
+    for selector, options in (("redundancy_aware_topk", {}), ("maxsim_greedy", {}), ("query_coverage_topk", {"reserve": 1}), ("spatial_quadrant_mix", {"reserve": 1}), (None, {})):
+        ranked, docs = plans.rerank(page, queries, plans.RerankConfig(selector, 3, options))
+        assert ranked.count() == 12 and docs.count() == 6
+    assert plans.closest_grid(1000, 500) == (2, 1) and plans.closest_grid(100, 100) == (1, 1) and plans.closest_grid(2000, 2000) == (2, 2)
+
+
+def test_small_column_functions(spark):
+    rows = spark.createDataFrame([("1,200 cats 3.5 0 x -7 1e2",)], "t string").select(C.numbers_in("t"), C.safe_name(F.lit("a b/c?.png")), C.run_mode(F.lit("Exact_run")), C.run_token_filter(F.lit("x_drop_pad")), C.run_qid(F.lit("out/qid_ab12"))).first()
+    assert list(rows) == [[1200.0, 3.5, -7.0, 100.0], "a_b_c_.png", "exact", "drop_pad_like", "ab12"]
