@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import ranked
 from .ranking import doc_ranks
 
 
@@ -23,9 +24,24 @@ def supporting_docs(gold: DataFrame) -> DataFrame:
     return gold.distinct().groupBy("doc_id").agg(F.count("*").alias("questions"))
 
 
+def numbered(items: DataFrame, *order) -> DataFrame:
+    """`items` with `number`, from 0 in a total order: range partitions, numbered inside and shifted by the rows before them.
+
+    The ranges are cut from a sample, so they are checkpointed; sizes of partitions are all that meets in one task.
+    """
+    context = items.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="maxloom-"))
+    dealt = items.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()).checkpoint()
+    sizes = dealt.groupBy("__p").agg(F.count("*").alias("__n"))
+    before = sizes.select("__p", (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__before"))
+    own = F.row_number().over(Window.partitionBy("__p").orderBy(*order)) - 1
+    return dealt.withColumn("__i", own).join(F.broadcast(before), "__p").withColumn("number", F.col("__i") + F.col("__before")).drop("__p", "__i", "__before")
+
+
 def shard(items: DataFrame, shards: int, *order) -> DataFrame:
     """Round-robin shards over an order: the i-th item goes to shard i mod `shards`."""
-    return items.withColumn("shard", (ranked([], *order) - 1) % shards)
+    return numbered(items, *order).withColumn("shard", F.col("number") % shards).drop("number")
 
 
 def subset_by_ids(rows: DataFrame, ids: DataFrame, key: str = "qid") -> DataFrame:

@@ -144,14 +144,14 @@ def weight_grid(features: DataFrame, gold: DataFrame, grid: Mapping[str, Sequenc
 
     The grid is a parameter of a few values each; every page meets every combination, and documents are ranked within each.
     """
-    combos = [(i, *map(float, c)) for i, c in enumerate(product(*(grid[n] for n in ("base", "visual", "non_visual", "balance"))))]
-    table = features.sparkSession.createDataFrame(combos, "combo long, w_base double, w_visual double, w_non_visual double, w_balance double")
+    names = ["combo", "w_base", "w_visual", "w_non_visual", "w_balance"]
+    combos = [F.struct(F.lit(i).cast("long").alias("combo"), *[F.lit(float(x)).alias(n) for n, x in zip(names[1:], c, strict=True)]) for i, c in enumerate(product(*(grid[n] for n in ("base", "visual", "non_visual", "balance"))))]
     score = F.col("w_base") * F.col("base") + F.col("w_visual") * F.col("visual") + F.col("w_non_visual") * F.col("non_visual") + F.col("w_balance") * F.col("balance")
-    pages = features.select(*KEY, "base", "visual", "non_visual", "balance").join(F.broadcast(table)).withColumn("fused", score)
-    docs = pages.groupBy("qid", *table.columns, "doc_id").agg(F.max(F.struct("fused", "base")).alias("b"))
+    pages = features.select(*KEY, "base", "visual", "non_visual", "balance", F.explode(F.array(*combos)).alias("c")).select("*", "c.*").withColumn("fused", score)
+    docs = pages.groupBy("qid", *names, "doc_id").agg(F.max(F.struct("fused", "base")).alias("b"))
     docs = docs.withColumn("rank", ranked(["qid", "combo"], F.desc("b.fused"), F.desc("b.base"), "doc_id")).join(gold.withColumn("g", F.lit(1)), ["qid", "doc_id"], "left")
     is_gold = F.col("g").isNotNull()
-    out = docs.groupBy("qid", *table.columns).agg(F.min(F.when(is_gold, F.col("rank"))).alias("first_gold"), F.count_if(is_gold & (F.col("rank") <= 4)).alias("hits4"), F.count_if(is_gold & (F.col("rank") <= 10)).alias("hits10"))
+    out = docs.groupBy("qid", *names).agg(F.min(F.when(is_gold, F.col("rank"))).alias("first_gold"), F.count_if(is_gold & (F.col("rank") <= 4)).alias("hits4"), F.count_if(is_gold & (F.col("rank") <= 10)).alias("hits10"))
     last = F.coalesce(F.col("first_gold").cast("double"), F.lit(NO_RANK))
     return out.withColumn("place", ranked(["qid"], (last > 4).cast("int"), last, F.desc("hits4"), F.desc("hits10"), "combo")).where(F.col("place") <= top)
 

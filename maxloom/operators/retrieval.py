@@ -128,18 +128,51 @@ def nearest_tokens(scores: DataFrame, k: int) -> DataFrame:
     return scores.withColumn("near", ranked(["qid", "q_idx"], F.desc("s"), *PAGE, "token_idx")).where(F.col("near") <= k)
 
 
-def knn_partial(scores: DataFrame, k_token: int, k_page: int | None = None) -> DataFrame:
-    """Page scores from each query token's k nearest page tokens alone; inactive tokens search but add nothing."""
-    out = maxsim_of(nearest_tokens(scores, k_token).where("active"))
+def search_tokens(pages: DataFrame, queries: DataFrame, k: int, query_columns: list[str] = ()) -> DataFrame:
+    """Each query token's k nearest page tokens straight from the vectors, with `near`: a batch hands on its own k best (and ties with the last) alone."""
+    own, theirs = [*PAGE, "token_idx"], ["qid", "q_idx", *query_columns]
+    schema = ", ".join([*_schema(queries, theirs), *_schema(pages, own), "s double"])
+
+    def kernel(block: pa.Table):
+        held = [block.column(c).combine_chunks() for c in theirs]
+        vectors = _matrix(block.column("emb").combine_chunks())
+
+        def run(batches):
+            for batch in batches:
+                step = max(k, 4_000_000 // max(1, len(vectors)))
+                for at in range(0, batch.num_rows, step):
+                    part = batch.slice(at, step)
+                    s = _matrix(part.column(len(own))) @ vectors.T
+                    keep = s >= np.partition(s, len(s) - k, axis=0)[len(s) - k] if len(s) > k else np.ones_like(s, bool)
+                    rows, tokens = np.nonzero(keep)
+                    yield pa.RecordBatch.from_arrays([*(h.take(pa.array(tokens)) for h in held), *(part.column(i).take(pa.array(rows)) for i in range(len(own))), pa.array(s[rows, tokens])], [*theirs, *own, "s"])
+
+        return run
+
+    parts = [pages.select(*own, "emb").mapInArrow(kernel(b), schema) for b in _query_blocks(queries, theirs) if b.num_rows]
+    some = reduce(DataFrame.unionByName, parts) if parts else pages.sparkSession.createDataFrame([], schema)
+    return nearest_tokens(some, k)
+
+
+def knn_pages(near: DataFrame, k_page: int | None = None) -> DataFrame:
+    """Page scores from nearest tokens alone; inactive tokens search but add nothing."""
+    out = maxsim_of(near.where("active"))
     return out if k_page is None else top_pages(out, k_page).drop("rank")
 
 
-def two_stage(scores: DataFrame, k_token: int, candidates: int, k: int) -> DataFrame:
+def rescored(pages: DataFrame, queries: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Exact scores of candidate pages (qid, doc_id, page_idx): only their vectors are read into the product."""
+    some = pages.join(candidates.select(*PAGE).distinct(), PAGE, "left_semi")
+    best = token_maxima(some, queries).join(candidates.select("qid", *PAGE).distinct(), ["qid", *PAGE], "left_semi")
+    return best.groupBy("qid", *PAGE).agg(F.sum("best").alias("score"))
+
+
+def two_stage(pages: DataFrame, queries: DataFrame, k_token: int, candidates: int, k: int) -> DataFrame:
     """Candidates from the nearest tokens of all query tokens, rescored exactly over the active ones."""
     if candidates < k:
         raise ValueError("fewer candidates than results")
-    first = top_pages(maxsim_of(nearest_tokens(scores, k_token)), candidates).select("qid", *PAGE)
-    return top_pages(maxsim_of(scores.where("active").join(first, ["qid", *PAGE], "left_semi")), k)
+    first = top_pages(maxsim_of(search_tokens(pages, queries, k_token)), candidates)
+    return top_pages(rescored(pages, queries.where("active"), first), k)
 
 
 def require_active(queries: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import informative, normalised_label, ranked, sigmoid, standardised, token_label
+from ..functions.columns import informative, normalised_label, sigmoid, standardised, token_label
 from .ranking import NO_RANK
 
 NUMERIC = ["visual_tokens", "non_visual_tokens", "unknown_tokens", "tokens", "informative_visual", "has_informative", "share_of_visual", "share_of_all"]
@@ -103,20 +103,17 @@ def objective(chosen: DataFrame) -> DataFrame:
 def greedy_rules(rules: DataFrame, base: DataFrame, candidate: DataFrame, most: int = 3, rank: str = "first_doc") -> list[str]:
     """Forward selection: add the rule that betters the objective most, until none does. A few scalars per rule reach the driver."""
     ranks = base.select("qid", F.col(rank).alias("b")).join(candidate.select("qid", F.col(rank).alias("c")), "qid").select("qid", *[F.coalesce(F.col(c).cast("double"), F.lit(NO_RANK)).alias(c) for c in "bc"])
+    goals = [(F.count_if(F.col("c") <= 4) - F.count_if(F.col("b") <= 4)).alias("d4"), F.count_if(F.col("c") < F.col("b")).alias("up"), (-F.count_if(F.col("c") > F.col("b"))).alias("down"), (-F.count("*")).alias("n")]
     chosen: list[str] = []
-    goal = ranks.agg(F.count_if(F.col("b") <= 4)).first()[0], 0, 0, 0
+    goal = (0, 0, 0, 0)
     while len(chosen) < most:
-        taken = rules.where(F.col("rule").isin(chosen)).select("qid").distinct() if chosen else ranks.select("qid").limit(0)
-        open_rules = rules.where(~F.col("rule").isin(chosen)).select("rule").distinct()
-        sets = open_rules.join(F.broadcast(taken)).unionByName(rules.where(~F.col("rule").isin(chosen)).select("rule", "qid")).distinct()
-        one = sets.join(ranks, "qid").groupBy("rule").agg(
-            (F.count_if(F.col("c") <= 4) - F.count_if(F.col("b") <= 4)).alias("d4"), F.count_if(F.col("c") < F.col("b")).alias("up"), (-F.count_if(F.col("c") > F.col("b"))).alias("down"), (-F.count("*")).alias("n"),
-        )
-        best = one.orderBy(F.desc("d4"), F.desc("up"), F.desc("down"), F.desc("n"), "rule").first()
-        start = ranks.agg(F.count_if(F.col("b") <= 4)).first()[0]
-        if best is None or (start + best["d4"], best["up"], best["down"], best["n"]) <= goal:
+        # What a rule adds: the queries that no chosen rule holds for.
+        new = rules.where(~F.col("rule").isin(chosen)).distinct()
+        new = new.join(rules.where(F.col("rule").isin(chosen)).select("qid").distinct(), "qid", "left_anti") if chosen else new
+        best = new.join(ranks, "qid").groupBy("rule").agg(*goals).orderBy(F.desc("d4"), F.desc("up"), F.desc("down"), F.desc("n"), "rule").first()
+        if best is None or (total := tuple(goal[i] + best[i + 1] for i in range(4))) <= goal:
             break
-        goal = start + best["d4"], best["up"], best["down"], best["n"]
+        goal = total
         chosen.append(best["rule"])
     return chosen
 
@@ -188,7 +185,3 @@ def audit(ranks: DataFrame, n: int = 50, rank: str = "rank", grounded: str = "gr
     r = F.col(rank)
     verdict = F.when(r <= n, "strong").when((r <= 2 * n) & F.col(grounded), "borderline").when(F.col(gain) >= 100, "useful_but_not_reliable").otherwise("weak")
     return ranks.withColumn("verdict", verdict)
-
-
-def best_of(table: DataFrame, *order) -> DataFrame:
-    return table.withColumn("place", ranked([], *order))

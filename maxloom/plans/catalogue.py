@@ -64,7 +64,7 @@ def knn_partial_pages(f):
 
 @query("SELECT qid, doc_id, page_idx, round(sum(m), 6) AS score FROM (SELECT qid, q_idx, doc_id, page_idx, max(s) AS m FROM kn GROUP BY ALL) GROUP BY ALL")
 def knn_partial_with_pad(f):
-    return retrieval.maxsim_of(retrieval.nearest_tokens(f.scores, 10)).select(*PAGE, r("score"))
+    return retrieval.maxsim_of(retrieval.search_tokens(f.pages, f.queries, 10)).select(*PAGE, r("score"))
 
 
 @query("SELECT qid, doc_id, page_idx, round(sum(m), 6) AS score FROM (SELECT qid, q_idx, doc_id, page_idx, max(s) AS m FROM sc WHERE raw_token NOT IN ('<pad>', '<bos>', '<eos>', 'Question', ':') GROUP BY ALL) GROUP BY ALL")
@@ -79,7 +79,7 @@ def token_filter_drop_pad_like(f):
 
 @query("SELECT qid, doc_id, page_idx, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id, page_idx) AS rank FROM ex SEMI JOIN (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, doc_id, page_idx) AS i FROM (SELECT qid, doc_id, page_idx, sum(m) AS s FROM (SELECT qid, q_idx, doc_id, page_idx, max(s) AS m FROM kn GROUP BY ALL) GROUP BY ALL)) c ON ex.qid = c.qid AND ex.doc_id = c.doc_id AND ex.page_idx = c.page_idx AND c.i <= 12 QUALIFY rank <= 4")
 def two_stage_rerank(f):
-    return retrieval.two_stage(f.scores, 10, 12, 4).select(*PAGE, r("score"), "rank")
+    return retrieval.two_stage(f.pages, f.queries, 10, 12, 4).select(*PAGE, r("score"), "rank")
 
 
 @query("SELECT qid, q_idx, doc_id, page_idx, arg_max(token_idx, (s, -token_idx)) AS token_idx, round(max(s), 6) AS s FROM sc WHERE active GROUP BY ALL")

@@ -29,18 +29,18 @@ def retrieve(pages: DataFrame, queries: DataFrame, config: RetrievalConfig, cent
     if config.mode not in ("ann", "two_stage", "exact"):
         raise ValueError(f"no retrieval mode {config.mode!r}")
     kept = queries.where(query_keep("raw_token", "active" if config.token_filter == "full" else F.lit(True), config.token_filter))
-    k_token = config.k_token or config.k
     if config.mode == "exact":
         scored = retrieval.maxsim(pages, kept)
     else:
-        scores = retrieval.token_scores(pages, queries, query_columns=["active", "raw_token"]) if config.nprobe is None else retrieval.probe(pages, centroids, queries, config.nprobe, query_columns=["active", "raw_token"])
+        k_token = config.k_token or config.k
+        near = retrieval.search_tokens(pages, queries, k_token, ["active"]) if config.nprobe is None else retrieval.nearest_tokens(retrieval.probe(pages, centroids, queries, config.nprobe), k_token)
         if config.mode == "ann":
-            scored = retrieval.knn_partial(scores, k_token)
+            scored = retrieval.knn_pages(near)
         else:
-            first = retrieval.top_pages(retrieval.maxsim_of(retrieval.nearest_tokens(scores, k_token)), config.candidates or config.k).select("qid", "doc_id", "page_idx")
-            if (config.candidates or config.k) < config.k:
+            candidates = config.candidates or config.k
+            if candidates < config.k:
                 raise ValueError("fewer candidates than results")
-            scored = retrieval.maxsim_of(scores.where("active").join(first, ["qid", "doc_id", "page_idx"], "left_semi"))
+            scored = retrieval.rescored(pages, queries.where("active"), retrieval.top_pages(retrieval.maxsim_of(near), candidates))
     out = retrieval.top_page_per_doc(scored, config.k) if config.one_page_per_doc else retrieval.top_pages(scored, config.k)
     return out.select("qid", "rank", "doc_id", "page_idx", "score")
 
@@ -61,9 +61,13 @@ class RerankConfig:
     balance: str = "min_avg"
 
 
-def rerank(pages: DataFrame, queries: DataFrame, config: RerankConfig) -> tuple[DataFrame, DataFrame]:
-    """Reranked pages (base, fused, rank) and documents (doc_score, rank)."""
+def rerank(pages: DataFrame, queries: DataFrame, config: RerankConfig, pool: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Reranked pages (base, fused, rank) and documents (doc_score, rank), of a candidate pool (qid, doc_id, page_idx) if given."""
+    if pool is not None:
+        pages = pages.join(pool.select("doc_id", "page_idx").distinct(), ["doc_id", "page_idx"], "left_semi")
     scores = retrieval.token_scores(pages, queries, [c for c in ("patch_idx", "side", "n", "pclass") if c in pages.columns], ["qclass", "active"])
+    if pool is not None:
+        scores = scores.join(pool.select("qid", "doc_id", "page_idx").distinct(), ["qid", "doc_id", "page_idx"], "left_semi")
     features = channels.page_features(scores, config.radius, balance=config.balance)
     if config.selector is not None:
         kept = pruning.select_tokens(config.selector, config.selector_k, pruning.coarse_token_max(scores), scores, pages, **config.selector_options)

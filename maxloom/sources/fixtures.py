@@ -63,7 +63,7 @@ class Fixture:
 
     @cached_property
     def run_baseline(self) -> DataFrame:
-        return retrieval.rank_pages(retrieval.knn_partial(self.scores, 10))
+        return retrieval.rank_pages(retrieval.knn_pages(retrieval.search_tokens(self.pages, self.queries, 10, ["active"])))
 
     @cached_property
     def questions(self) -> DataFrame:

@@ -70,12 +70,12 @@ def test_two_stage_with_all_candidates_is_exact_and_pruned_is_never_more(small):
     pages, queries, _, _ = small
     scores = retrieval.token_scores(pages, queries, query_columns=["active"])
     exact = {(r["qid"], r["doc_id"], r["page_idx"]): r["score"] for r in retrieval.maxsim(pages, queries.where("active")).collect()}
-    full = {(r["qid"], r["doc_id"], r["page_idx"]): r["score"] for r in retrieval.two_stage(scores, 36, 6, 6).collect()}
+    full = {(r["qid"], r["doc_id"], r["page_idx"]): r["score"] for r in retrieval.two_stage(pages, queries, 36, 6, 6).collect()}
     assert full.keys() == exact.keys() and all(abs(full[k] - exact[k]) < 1e-9 for k in exact)
     for r in pruning.approx_scores(pruning.global_topk(pruning.coarse_token_max(scores), 3), scores).collect():
         assert r["score"] <= exact[r["qid"], r["doc_id"], r["page_idx"]] + 1e-9
     with pytest.raises(ValueError):
-        retrieval.two_stage(scores, 36, 2, 6)
+        retrieval.two_stage(pages, queries, 36, 2, 6)
     with pytest.raises(ValueError):
         retrieval.require_active(queries.withColumn("active", F.lit(False)))
 
@@ -186,6 +186,16 @@ def test_routing_and_training(spark):
     assert routing.vocabulary(features).count() == 8
 
 
+def test_search_keeps_ties_and_numbers_are_whole(spark, small):
+    pages, queries, _, _ = small
+    scores = retrieval.token_scores(pages, queries)
+    for k in (1, 5, 100):
+        key = lambda df: {tuple(x[c] for c in ("qid", "q_idx", "doc_id", "page_idx", "token_idx", "near")) for x in df.collect()}
+        assert key(retrieval.search_tokens(pages, queries, k)) == key(retrieval.nearest_tokens(scores, k))
+    rows = spark.range(1000).withColumn("x", (F.col("id") * 7919) % 1000).repartition(7)
+    assert [r["number"] for r in corpus.numbered(rows, "x").orderBy("x").collect()] == list(range(1000))
+
+
 def test_taxonomy_is_whole():
     rows = taxonomy.rows()
     assert len(rows) == 16 and sum(r[1] == "single" for r in rows) == 4
