@@ -88,9 +88,9 @@ def pack_pieces(tokenizer_path: str, capacity: int = WINDOW, end_id: int = END_I
     """mapInArrow function: (doc_id, text) to one row per piece."""
 
     def run(batches):
-        from .wordpiece import BATCH_BYTES, encoder as held_encoder
+        from .wordpiece import BATCH_BYTES, WordEncoder
 
-        encoder = held_encoder(tokenizer_path)
+        encoder = WordEncoder(tokenizer_path)
         number = TaskContext.get().partitionId() << 40
         held: list[tuple] = []
         tokens = 0
