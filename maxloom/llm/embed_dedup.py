@@ -28,7 +28,7 @@ from .common import block_pairs, components, forest, materialize, tidied, whole_
 COSINE = 0.93
 TREES = 6
 SPILL = 0.03
-SAMPLE = 20_000
+SAMPLE = 100_000
 LEAF_ROWS = 256
 LEAST_SAMPLE = 32
 MAX_DEPTH = 16
@@ -72,9 +72,11 @@ def grow(sample: np.ndarray, largest: int, trees: int = TREES, seed: int = SEED)
         node = np.zeros(len(sample), np.int64)
         for level in range(depth):
             over = np.einsum("ij,ij->i", sample, directions[tree, node])
-            for one in range(2**level - 1, 2 ** (level + 1) - 1):
-                own = over[node == one]
-                cuts[tree, one] = np.median(own) if len(own) else 0.0
+            order = np.lexsort((over, node))
+            ones = np.arange(2**level - 1, 2 ** (level + 1) - 1)
+            at = np.searchsorted(node[order], [*ones, ones[-1] + 1])
+            some = np.flatnonzero(np.diff(at))
+            cuts[tree, ones[some]] = over[order][(at[:-1] + at[1:])[some] // 2]
             node = 2 * node + 1 + (over > cuts[tree, node])
     return Forest(directions, cuts, depth)
 

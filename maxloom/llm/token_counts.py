@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 
-from .common import byte_slices, shared_dir, tidied
+from .common import byte_slices, materialize, shared_dir, tidied
 from .wordpiece import BATCH_BYTES
 
 LIMIT = 2048
@@ -76,6 +76,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     except AnalysisException:  # no cache there yet
         misses = distinct
     misses.mapInArrow(tidied(_encode(tokenizer_path)), "digest binary, n_tokens long").write.mode("append").parquet(cache_path)
-    # Two writers may have stored a key twice; both have the same count.
+    # Two writers may have stored a key twice; both have the same count. As a table of its own it lets the join split a hot key.
     stored = spark.read.schema("digest binary, n_tokens long").parquet(cache_path).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    stored = materialize(stored, "token-counts")
     return keyed.join(stored, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
