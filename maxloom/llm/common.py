@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 #: Text bytes that one numpy pass holds; working arrays are some ten times as large.
 PASS_BYTES = 2 << 20
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,9 +34,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_tables(spark: SparkSession) -> int:
+    """Delete the tables that this session's operators have written, once their results are stored; how many there were."""
+    n = len(_written)
+    for path in _written:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _written.clear()
+    return n
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -67,6 +79,7 @@ def byte_slices(batch: pa.RecordBatch, column: int, most: int = PASS_BYTES) -> I
         base = ends[start - 1] if start else 0
         stop = max(start + 1, int(np.searchsorted(ends, base + most, "right")))
         yield batch.slice(start, stop - start)
+        pa.default_memory_pool().release_unused()  # what a pass took does not pile up
         start = stop
 
 

@@ -54,6 +54,14 @@ def test_block_pairs_meet_once(spark):
     assert len(met) == 700 * 699 // 2 and set(met.values()) == {1}
 
 
+def test_tables_can_be_dropped(spark):
+    table = common.materialize(spark.range(3).toDF("a"), "gone")
+    path = common._written[-1]
+    assert table.count() == 3 and common.drop_tables(spark) >= 1 and common.drop_tables(spark) == 0
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    assert not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 # 1
 
 
