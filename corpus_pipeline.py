@@ -5,6 +5,9 @@ exact     drops all but the first of equal texts
 near      drops all but the first document of each class of near copies
 mix       keeps the blocks of every source that its target weight schedules before the first source runs out
 pack      one row per piece of a document in a sequence
+
+Rows of a repeated id share its fate in the stages that join by id; rows with a null id are not compared and stay. Null and empty
+texts are scored, deduplicated, mixed and packed like any other.
 """
 
 from __future__ import annotations
