@@ -2,10 +2,10 @@
 
 Two zstandard dictionaries are made from labelled text: one of ordinary text's commonest words, one with the same words and,
 nearest its end, the words that toxic text brings. Every text is cut into windows of three words; each window is compressed
-with both, after a lead-in that both dictionaries hold (without it so short an input is stored raw). The bytes that the toxic
-dictionary saves are the window's evidence; windows that save any are compressed again word by word. A text's largest
-savings and counts of windows over several savings go through a threshold calibration (logistic, fitted on labelled rows
-that the dictionaries did not see).
+with both, between a lead-in and a lead-out that both dictionaries hold (without them so short an input is stored raw, and its
+end is never matched). The bytes that the toxic dictionary saves are the window's evidence; windows that save any are
+compressed again word by word. A text's largest savings and counts of windows over several savings go through a threshold
+calibration (logistic, fitted on labelled rows that the dictionaries did not see).
 
 Labels are read only from rows that `held_out` excludes, and of those at most TRAIN_TOXIC toxic and TRAIN_ORDINARY ordinary
 ones of at most TRAIN_BYTES each, by least hash of the id: the sample is bounded, scoring covers every text in full. A word's weight in training is the
@@ -29,12 +29,14 @@ from .common import byte_slices, text_bytes, tidied, word_spans
 TRAIN_TOXIC = 4000
 TRAIN_ORDINARY = 6000
 TRAIN_BYTES = 16384
-ORDINARY_WORDS = 30000
+ORDINARY_WORDS = 12_000
 #: A toxic word's rate of neighbourhoods against its rate in ordinary text.
 RATIO = 90.0
-#: Compression levels of windows and of single words.
-LEVELS = (3, 16)
+#: Compression of windows and of single words. The first has match tables large enough that dictionary words do not displace one another.
+LEVELS = ((3, {"hash_log": 20, "chain_log": 20}), (16, {}))
 WINDOW_WORDS = 3
+#: Bytes of the lead-out: a match cannot start in the last eight bytes of an input.
+TAIL = 12
 #: Windows that save so many bytes are compressed again word by word.
 LOOK_AGAIN = 1
 SAVINGS = (3, 5, 7, 9)
@@ -85,8 +87,8 @@ class Scorer:
     def __init__(self, ordinary: bytes, toxic: bytes, lead: bytes):
         self.lead = np.frombuffer(lead, np.uint8)
         self.compressors = []
-        for level in LEVELS:
-            how = zstandard.ZstdCompressionParameters.from_level(level, window_log=19, min_match=4, write_content_size=0, write_checksum=0, write_dict_id=0)
+        for level, sizes in LEVELS:
+            how = zstandard.ZstdCompressionParameters.from_level(level, window_log=19, min_match=4, write_content_size=0, write_checksum=0, write_dict_id=0, **sizes)
             for content in (ordinary, toxic):
                 made = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 made.precompute_compress(compression_params=how)
@@ -97,12 +99,14 @@ class Scorer:
         return np.fromiter(map(len, out), np.int64, len(segments))
 
     def savings(self, flat: np.ndarray, begin: np.ndarray, size: np.ndarray, level: int) -> np.ndarray:
-        """Bytes that the toxic dictionary saves on each window: lead-in, one space, flat[begin : begin + size], one space."""
+        """Bytes that the toxic dictionary saves on each window: lead-in, one space, flat[begin : begin + size], one space, lead-out."""
         lead = len(self.lead)
-        whole = size + lead + 2
+        tail = self.lead[:TAIL]
+        whole = size + lead + 2 + len(tail)
         to = np.cumsum(whole) - whole
         data = np.full(int(whole.sum()), 32, np.uint8)
         data[(to[:, None] + np.arange(lead)).ravel()] = np.tile(self.lead, len(to))
+        data[(to[:, None] + (whole - len(tail))[:, None] + np.arange(len(tail))).ravel()] = np.tile(tail, len(to))
         inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
         data[np.repeat(to + lead + 1, size) + inner] = flat[np.repeat(begin, size) + inner]
         raw, segments = data.tobytes(), np.stack([to, whole], 1).astype(np.uint64)
