@@ -7,6 +7,8 @@ library's (anything beyond Latin letters, or a special string) go to the library
 
 from __future__ import annotations
 
+import functools
+import itertools
 import os
 
 import numpy as np
@@ -19,7 +21,7 @@ _ODD = r"[^\x00-\x{24F}]|\x{130}|<\|"
 #: Words kept between batches; beyond it only the commonest stay, so memory is bounded.
 CACHE_WORDS = 120_000
 #: Text bytes per batch that suit it.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 
 def load(path: str):
@@ -32,22 +34,34 @@ def load(path: str):
 _END = "</w>"
 
 
+@functools.cache
+def encoder(path: str) -> WordEncoder:
+    """One encoder per worker process: loading it costs as much as a second of texts."""
+    return WordEncoder(path)
+
+
 class WordEncoder:
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import normalizers, pre_tokenizers
 
-        self.library = load(path)
+        self.path = path
         # The same model for words that are cut and normalised already: many in a call, told apart by their end marks.
-        self.model = Tokenizer(self.library.model)
+        self.model = load(path)
+        self.model.normalizer = normalizers.Sequence([])
         self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.ends = np.zeros(self.library.get_vocab_size(with_added_tokens=True), bool)
-        self.ends[[i for token, i in self.library.get_vocab().items() if token.endswith(_END)]] = True
+        self.ends = np.zeros(self.model.get_vocab_size(with_added_tokens=True), bool)
+        self.ends[[i for token, i in self.model.get_vocab().items() if token.endswith(_END)]] = True
         self.known: dict[str, int] = {}
         self.flat = np.empty(0, np.uint32)
         self.starts = np.empty(0, np.int64)
         self.sizes = np.empty(0, np.int64)
         self.used = np.empty(0, np.int64)
 
+    @functools.cached_property
+    def library(self):
+        """The tokenizer as its file has it; loaded when the first odd text comes."""
+        return load(self.path)
+
     def _shrink(self) -> None:
         """Keep the words that came in the most batches, at most half the cache."""
         least = max(2, int(np.partition(self.used, -(CACHE_WORDS // 2))[-(CACHE_WORDS // 2)]) + 1)
@@ -70,8 +84,7 @@ class WordEncoder:
         """The cache row of each of these distinct words; words not seen before are encoded."""
         if len(self.known) > CACHE_WORDS:
             self._shrink()
-        get = self.known.get
-        rows = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        rows = np.fromiter(map(self.known.get, words, itertools.repeat(-1)), np.int64, len(words))
         new = np.flatnonzero(rows < 0)
         if len(new):
             fresh = [words[i] for i in new]
