@@ -51,11 +51,12 @@ class WordEncoder:
         self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.ends = np.zeros(self.model.get_vocab_size(with_added_tokens=True), bool)
         self.ends[[i for token, i in self.model.get_vocab().items() if token.endswith(_END)]] = True
-        self.known: dict[str, int] = {}
+        # Row 0 is the empty word, of no ids; it stays.
+        self.known: dict[str, int] = {"": 0}
         self.flat = np.empty(0, np.uint32)
-        self.starts = np.empty(0, np.int64)
-        self.sizes = np.empty(0, np.int64)
-        self.used = np.empty(0, np.int64)
+        self.starts = np.zeros(1, np.int64)
+        self.sizes = np.zeros(1, np.int64)
+        self.used = np.full(1, 1 << 60, np.int64)
 
     @functools.cached_property
     def library(self):
@@ -82,7 +83,7 @@ class WordEncoder:
 
     def _rows(self, words: list[str]) -> np.ndarray:
         """The cache row of each of these distinct words; words not seen before are encoded."""
-        if len(self.known) > CACHE_WORDS:
+        if len(self.known) > CACHE_WORDS + 1:
             self._shrink()
         rows = np.fromiter(map(self.known.get, words, itertools.repeat(-1)), np.int64, len(words))
         new = np.flatnonzero(rows < 0)
@@ -107,13 +108,8 @@ class WordEncoder:
         # U+0085 and U+00A0 lie between pieces and stick to the next one's front.
         words, at = pc.utf8_trim(lists.values, "\x85\xa0") if _has_wide_space(plain) else lists.values, np.asarray(lists.offsets)
         coded = words.dictionary_encode()
-        names = coded.dictionary.to_pylist()
-        rows = self._rows([w for w in names if w])
-        table = np.full(len(names), -1, np.int64)
-        table[[i for i, w in enumerate(names) if w]] = rows
-        row = table[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.empty(0, np.int64)
-        keep = row >= 0
-        return row[keep], np.concatenate([[0], np.cumsum(keep)])[at], odd
+        rows = self._rows(coded.dictionary.to_pylist())
+        return rows[coded.indices.to_numpy(zero_copy_only=False)], at, odd
 
     def ids(self, texts: pa.Array) -> list[np.ndarray]:
         texts = pc.fill_null(texts, "")
