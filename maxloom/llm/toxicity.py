@@ -29,6 +29,7 @@ from .common import byte_slices, text_bytes, tidied, word_spans
 TRAIN_TOXIC = 4000
 TRAIN_ORDINARY = 6000
 TRAIN_BYTES = 16384
+TRAIN_PASS_BYTES = 2 << 20
 ORDINARY_WORDS = 12_000
 #: A toxic word's rate of neighbourhoods against its rate in ordinary text.
 RATIO = 90.0
@@ -47,10 +48,16 @@ THRESHOLD = 0.7
 def _neighbourhoods(texts: pa.Array) -> dict[bytes, int]:
     """In how many different neighbourhoods (word before, word after) each word stands; words with fewer than 3 are left out."""
     flat, at = text_bytes(texts)
-    h, starts, lengths, _ = word_spans(flat, at)
-    if not len(h):
+    parts, row = [], 0
+    while row < len(at) - 1:  # some texts at a time: working arrays are many times as large
+        stop = max(row + 1, int(np.searchsorted(at, at[row] + TRAIN_PASS_BYTES, "right")) - 1)
+        h, starts, lengths, _ = word_spans(flat[at[row] : at[stop]], at[row : stop + 1] - at[row])
+        if len(h):
+            parts.append((h, starts + at[row], lengths, np.concatenate([[0], h[:-1]]).astype(np.uint64) * np.uint64(3) + np.append(h[1:], np.uint64(0))))
+        row = stop
+    if not parts:
         return {}
-    around = np.concatenate([[0], h[:-1]]).astype(np.uint64) * np.uint64(3) + np.append(h[1:], np.uint64(0))
+    h, starts, lengths, around = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.lexsort((around, h))
     w, a = h[order], around[order]
     fresh = np.ones(len(w), bool)
