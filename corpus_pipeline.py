@@ -3,7 +3,7 @@
 quality   drops what the classifier rejects
 exact     drops all but the first of equal texts
 near      drops all but the first document of each class of near copies
-mix       keeps the blocks of every source that its target weight schedules before the first source runs out
+mix       orders all rows by the slots that the sources' target weights give them; none is left out
 pack      one row per piece of a document in a sequence
 
 Rows of a repeated id share its fate in the stages that join by id; rows with a null id are not compared and stay. Null and empty
@@ -40,9 +40,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # What is left out is far less than what stays, so that is what the texts are joined with.
-    left = mix_rows(docs.select("doc_id", "source")).where("NOT in_mix").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(materialize(left, "mix-left"), "doc_id", "left_anti")
+    placed = mix_rows(docs.select(*COLUMNS)).where("in_mix")
+    return placed.repartitionByRange("slot").sortWithinPartitions("slot", "place").select(*COLUMNS)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,14 +1,19 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Each source's rows, in hash order, are cut into blocks. A source of weight p out of P may place its i-th block (from 0) from
-slot floor(i P / p) on and must have placed it before slot ceil((i + 1) P / p). Earliest-deadline-first over these windows
-fills every slot, and after any number of slots each source is less than one block from its share. The schedule repeats every P
-slots, so one period is made (a fold over P slots in one row) and every block finds its slot by arithmetic and a lookup.
+Each source's rows, in hash order, are cut into blocks. A source has an exact rate r of blocks per PERIOD, whole or not, and
+p = ceil(r) turns in a period of P slots (the sum of all p, so PERIOD and at most one more per source). A source may take its
+i-th turn (from 0) from slot floor(i P / p) on and must have taken it before slot ceil((i + 1) P / p). Earliest-deadline-first
+over these windows fills every slot with a turn, and after any number of slots each source is less than one turn from its share.
+The schedule repeats every P slots, so one period is made (a fold over P slots in one row) and every block finds its slot by
+arithmetic and a lookup. Block b takes turn floor((b + phase) p / r), so turns beyond the exact rate are idle, evenly: a rare source
+has one block every so many periods. Slots are an order; idle ones hold no rows.
 
-The mix ends at the first slot whose source has no block left (`in_mix` tells); rows beyond it keep their slot, none is lost.
+No row is lost: without given weights every row is in the mix, and a source that has run out only leaves its turns idle. With
+given weights the mix ends at the first slot whose source has no block left (`in_mix` tells), as from there
+on the weights cannot be kept; rows beyond it keep their slot.
 
 DataFrame functions only. Rows are numbered inside (source, hash bucket), and buckets' offsets are added, so a source that
-holds a third of all rows is spread over all tasks. Broadcast: one period (at most MAX_PERIOD rows) and one row per source (at most
+holds a third of all rows is spread over all tasks. Broadcast: one period (at most MAX_PERIOD rows and one per source) and one row per source (at most
 MAX_SOURCES, else it raises). Null source is a source of its own; null ids are placed by their hash; rows equal in hash and id
 are told apart by what else they hold, or are equal, so ties are harmless; columns named like the results (PLACED) are replaced; an empty table
 gives an empty result.
@@ -16,6 +21,7 @@ gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, Window
@@ -31,21 +37,17 @@ BUCKET_ROWS = 16_384
 PLACED = ("block", "place", "slot", "in_mix")
 
 
-def shares(counts: Mapping[str | None, int], weights: Mapping[str | None, float] | None, period: int) -> dict[str | None, int]:
-    """Whole slots per period by largest remainder, at least one each; default weights are counts to the power TEMPERATURE."""
+def rates(counts: Mapping[str | None, int], weights: Mapping[str | None, float] | None, period: int) -> dict[str | None, float]:
+    """Exact blocks per period of each source with a weight; default weights are counts to the power TEMPERATURE."""
     named = {s: float((weights or {}).get(s, 0.0)) if weights else n**TEMPERATURE for s, n in counts.items()}
     named = {s: w for s, w in named.items() if w > 0}
-    if not named:
-        return {}
-    if len(named) > period:
-        raise ValueError("more sources than slots in a period")
     total = sum(named.values())
-    spare = period - len(named)
-    exact = {s: spare * w / total for s, w in named.items()}
-    out = {s: 1 + int(x) for s, x in exact.items()}
-    for s in sorted(named, key=lambda s: (int(exact[s]) - exact[s], s is None, s or ""))[: period - sum(out.values())]:
-        out[s] += 1
-    return out
+    return {s: period * w / total for s, w in named.items()}
+
+
+def shares(counts: Mapping[str | None, int], weights: Mapping[str | None, float] | None, period: int) -> dict[str | None, int]:
+    """Turns per period: exact rates rounded up."""
+    return {s: max(1, math.ceil(r - 1e-9)) for s, r in rates(counts, weights, period).items()}
 
 
 def schedule_sql(slots: list[int]) -> str:
@@ -67,16 +69,21 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, id_c
     if len(counted) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     counts = {r["s"]: r["count"] for r in counted}
-    slots = shares(counts, weights, period)
+    slots, exact = shares(counts, weights, period), rates(counts, weights, period)
     names = sorted(slots, key=lambda s: (s is None, s or ""))
     if not names:
         return docs.select(*[c for c in docs.columns if c not in PLACED], *[F.lit(None).cast("long").alias(c) for c in ("block", "place", "slot")], F.lit(False).alias("in_mix"))
-    one = spark.createDataFrame([(i, s, slots[s], -(-counts[s] // block_docs)) for i, s in enumerate(names)], "i int, s string, p long, blocks long")
+    one = spark.createDataFrame([(i, s, slots[s], max(1.0, slots[s] / exact[s]), -(-counts[s] // block_docs)) for i, s in enumerate(names)], "i int, s string, p long, stride double, blocks long")
+    # Whole mixes have blocks in the middle of their windows; a mix that ends has them at the start, so a small source is in it.
+    phase, period = 0.0 if weights else 0.5, sum(slots.values())
+    turn = lambda block, stride: F.floor((F.col(block) + F.lit(phase)) * F.col(stride))
     plan = spark.range(1).select(F.posexplode(F.expr(schedule_sql([slots[s] for s in names]))).alias("at", "i"))
     plan = plan.select("at", "i", (F.row_number().over(Window.partitionBy("i").orderBy("at")) - 1).cast("long").alias("j"))
-    # The first slot of a block that is not there, and the least of them over all sources.
-    ends = one.withColumn("j", F.col("blocks") % F.col("p")).join(F.broadcast(plan), ["i", "j"]).select(F.min(F.expr(f"blocks div p * {period} + at")).alias("end"))
-    horizon = ends.first()["end"]
+    inside = F.col("slot").isNotNull()
+    if weights:
+        # The first slot of a block that is not there, and the least of them over all sources.
+        ends = one.withColumn("turn", turn("blocks", "stride")).withColumn("j", F.col("turn") % F.col("p"))
+        inside = F.col("slot") < ends.join(F.broadcast(plan), ["i", "j"]).select(F.min(F.expr(f"turn div p * {period} + at")).alias("end")).first()["end"]
     bits = max(8, (sum(counts.values()) // BUCKET_ROWS).bit_length())
     source, own = F.col(source_col), Window.partitionBy("__s", "__bucket")
     numbered = docs.withColumn("__s", source).withColumn("__h", F.xxhash64(F.col(id_col), F.lit(seed))).withColumn("__bucket", F.shiftrightunsigned(F.col("__h"), 64 - bits))
@@ -87,10 +94,11 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, id_c
     index = F.col("__number") + F.col("__before")
     kept = [c for c in docs.columns if c not in PLACED]
     placed = numbered.select(*kept, F.col("__s").alias("__source"), F.expr(f"(__number + __before) div {block_docs}").alias("block"), (index % block_docs).cast("long").alias("place"))
-    placed = placed.join(F.broadcast(one.select(F.col("s").alias("__s"), F.col("i").alias("__i"), F.col("p").alias("__p"))), F.col("__source").eqNullSafe(F.col("__s")), "left")
-    placed = placed.join(F.broadcast(plan.select(F.col("i").alias("__pi"), F.col("j").alias("__j"), F.col("at").alias("__at"))), (F.col("__i") == F.col("__pi")) & (F.col("block") % F.col("__p") == F.col("__j")), "left")
-    placed = placed.withColumn("slot", F.expr(f"block div __p * {period} + __at"))
-    return placed.select(*kept, "block", "place", "slot", F.coalesce(F.col("slot") < horizon, F.lit(False)).alias("in_mix"))
+    placed = placed.join(F.broadcast(one.select(F.col("s").alias("__s"), F.col("i").alias("__i"), F.col("p").alias("__p"), F.col("stride").alias("__stride"))), F.col("__source").eqNullSafe(F.col("__s")), "left")
+    placed = placed.withColumn("__turn", turn("block", "__stride"))
+    placed = placed.join(F.broadcast(plan.select(F.col("i").alias("__pi"), F.col("j").alias("__j"), F.col("at").alias("__at"))), (F.col("__i") == F.col("__pi")) & (F.col("__turn") % F.col("__p") == F.col("__j")), "left")
+    placed = placed.withColumn("slot", F.expr(f"__turn div __p * {period} + __at"))
+    return placed.select(*kept, "block", "place", "slot", F.coalesce(inside, F.lit(False)).alias("in_mix"))
 
 
 def mixed(docs: DataFrame, weights: Mapping[str | None, float] | None = None, **options) -> DataFrame:

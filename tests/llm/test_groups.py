@@ -308,6 +308,22 @@ def test_mix_of_repeated_rows_unweighted_sources_and_nothing(awkward, awkward_ro
     assert mixing.mix(nothing).count() == 0
 
 
+def test_tiny_and_null_sources_do_not_end_the_mix(spark):
+    sizes = {**{f"s{k:02}": 1000 for k in range(20)}, "tiny": 5, None: 3}
+    table = spark.createDataFrame([(i, s) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))], "doc_id long, source string")
+    got = mixing.mix(table).toPandas()
+    assert len(got) == 20_008 and got.in_mix.all() and not got.duplicated(["slot", "place"]).any()
+    # Their one block is not put first, and the others stay near equal all the way.
+    end, source = got.slot.max(), got.source.fillna("none")
+    assert all(end * 0.1 < got.slot[source == s].iloc[0] < end * 0.9 for s in ("tiny", "none"))
+    for t in range(0, end, 100):
+        placed = source[got.slot < t].value_counts().reindex([s for s in sizes if s not in ("tiny", None)], fill_value=0)
+        assert placed.max() - placed.min() <= 3 * mixing.BLOCK_DOCS
+    # Weights by size keep nearly all; what an ended mix leaves out keeps its slot.
+    weighted = mixing.mix(table, sizes).toPandas()
+    assert weighted.in_mix.sum() > 19_800 and weighted.slot.notna().all()
+
+
 # Pipeline
 
 
