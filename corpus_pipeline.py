@@ -3,7 +3,7 @@
 quality   drops what the classifier rejects
 exact     drops all but the first of equal texts
 near      drops all but the first document of each class of near copies
-mix       orders all rows by the slots that the sources' target weights give them; none is left out
+mix       orders all rows by slots in which every source has its share of the rows all along; none is left out
 pack      one row per piece of a document in a sequence
 
 Rows of a repeated id share its fate in the stages that join by id; rows with a null id are not compared and stay. Null and empty

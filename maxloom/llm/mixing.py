@@ -8,9 +8,9 @@ The schedule repeats every P slots, so one period is made (a fold over P slots i
 arithmetic and a lookup. Block b takes turn floor((b + phase) p / r), so turns beyond the exact rate are idle, evenly: a rare source
 has one block every so many periods. Slots are an order; idle ones hold no rows.
 
-No row is lost: without given weights every row is in the mix, and a source that has run out only leaves its turns idle. With
-given weights the mix ends at the first slot whose source has no block left (`in_mix` tells), as from there
-on the weights cannot be kept; rows beyond it keep their slot.
+No row is lost: without given weights the rates are proportional to the sources' blocks, so all of them last to the end and every
+row is in the mix. With given weights the mix ends at the first slot whose source has no block left (`in_mix` tells,
+`left_out` counts), as from there on the weights cannot be kept; rows beyond it keep their slot.
 
 DataFrame functions only. Rows are numbered inside (source, hash bucket), and buckets' offsets are added, so a source that
 holds a third of all rows is spread over all tasks. Broadcast: one period (at most MAX_PERIOD rows and one per source) and one row per source (at most
@@ -29,7 +29,6 @@ from pyspark.sql import functions as F
 
 BLOCK_DOCS = 8
 PERIOD = 1000
-TEMPERATURE = 0.9
 SEED = 20
 MAX_PERIOD = 10_000
 MAX_SOURCES = 1_000
@@ -38,8 +37,8 @@ PLACED = ("block", "place", "slot", "in_mix")
 
 
 def rates(counts: Mapping[str | None, int], weights: Mapping[str | None, float] | None, period: int) -> dict[str | None, float]:
-    """Exact blocks per period of each source with a weight; default weights are counts to the power TEMPERATURE."""
-    named = {s: float((weights or {}).get(s, 0.0)) if weights else n**TEMPERATURE for s, n in counts.items()}
+    """Exact blocks per period of each source with a weight; default weights are the counts."""
+    named = {s: float((weights or {}).get(s, 0.0)) if weights else float(n) for s, n in counts.items()}
     named = {s: w for s, w in named.items() if w > 0}
     total = sum(named.values())
     return {s: period * w / total for s, w in named.items()}
@@ -69,11 +68,12 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, id_c
     if len(counted) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     counts = {r["s"]: r["count"] for r in counted}
-    slots, exact = shares(counts, weights, period), rates(counts, weights, period)
+    blocks = {s: -(-n // block_docs) for s, n in counts.items()}
+    slots, exact = shares(blocks, weights, period), rates(blocks, weights, period)
     names = sorted(slots, key=lambda s: (s is None, s or ""))
     if not names:
         return docs.select(*[c for c in docs.columns if c not in PLACED], *[F.lit(None).cast("long").alias(c) for c in ("block", "place", "slot")], F.lit(False).alias("in_mix"))
-    one = spark.createDataFrame([(i, s, slots[s], max(1.0, slots[s] / exact[s]), -(-counts[s] // block_docs)) for i, s in enumerate(names)], "i int, s string, p long, stride double, blocks long")
+    one = spark.createDataFrame([(i, s, slots[s], max(1.0, slots[s] / exact[s]), blocks[s]) for i, s in enumerate(names)], "i int, s string, p long, stride double, blocks long")
     # Whole mixes have blocks in the middle of their windows; a mix that ends has them at the start, so a small source is in it.
     phase, period = 0.0 if weights else 0.5, sum(slots.values())
     turn = lambda block, stride: F.floor((F.col(block) + F.lit(phase)) * F.col(stride))
@@ -104,3 +104,9 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, id_c
 def mixed(docs: DataFrame, weights: Mapping[str | None, float] | None = None, **options) -> DataFrame:
     """The rows of the mix alone, with the columns of `docs` (which are not named like the results)."""
     return mix(docs, weights, **options).where("in_mix").select(*docs.columns)
+
+
+def left_out(placed: DataFrame, source_col: str = "source") -> DataFrame:
+    """What the weights given to `mix` leave out of each source: source, n_rows, n_in_mix, n_left_out."""
+    taken = F.sum(F.col("in_mix").cast("long"))
+    return placed.groupBy(F.col(source_col).alias("source")).agg(F.count("*").alias("n_rows"), taken.alias("n_in_mix"), (F.count("*") - taken).alias("n_left_out"))

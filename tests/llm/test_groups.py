@@ -324,6 +324,19 @@ def test_tiny_and_null_sources_do_not_end_the_mix(spark):
     assert weighted.in_mix.sum() > 19_800 and weighted.slot.notna().all()
 
 
+def test_a_hot_source_is_kept_whole_and_spread_to_the_end(spark):
+    sizes = {"hot": 3000, **{f"s{k:02}": 300 for k in range(20)}}
+    table = spark.createDataFrame([(i, s) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))], "doc_id long, source string")
+    got = mixing.mix(table).toPandas()
+    assert len(got) == 9000 and got.in_mix.all()
+    for t in range(0, got.slot.max(), 50):
+        now = got[got.slot < t]
+        assert abs((now.source == "hot").sum() - len(now) / 3) <= 4 * mixing.BLOCK_DOCS
+    report = {r["source"]: r for r in mixing.left_out(mixing.mix(table, dict.fromkeys(sizes, 1))).collect()}
+    assert {s: r["n_rows"] for s, r in report.items()} == sizes and all(r["n_in_mix"] + r["n_left_out"] == r["n_rows"] for r in report.values())
+    assert report["hot"]["n_left_out"] > 2600 and report["s00"]["n_left_out"] <= 2 * mixing.BLOCK_DOCS
+
+
 # Pipeline
 
 
