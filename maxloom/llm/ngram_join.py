@@ -1,8 +1,8 @@
-"""N-gram Jaccard join: a MinHash LSH forest, then exact verification.
+"""N-gram Jaccard join: fixed banding of MinHash values in place of an LSH forest, then exact verification.
 
-Documents whose sets of word 5-grams are equal are one text with so many copies. Each text has TREES tries over MinHash
-values; it enters a trie under a prefix of its label. Prefixes start at MAX_DEPTH values and are shortened until the chance that a
-pair at the threshold shares one in some trie reaches TARGET_RECALL. Texts under a common prefix are compared by their whole
+Documents whose sets of word 5-grams are equal are one text with so many copies. Each text has TREES bands of MinHash
+values. The depth of a band is worked out once, from MAX_DEPTH values down, until the chance that a pair at the threshold shares
+a band reaches TARGET_RECALL; there are no sorted tries. Texts under a common prefix are compared by their whole
 signatures, which leaves connected candidates, and these are verified exactly: shingle sets are intersected, every pair once.
 
 Counts of links and classes come out without a row per pair. Groups of any size are dealt into blocks and meet block by block,
