@@ -1,12 +1,13 @@
 """Exact dedup by composable polynomial fingerprints.
 
 A text's fingerprint is its bytes read as a polynomial modulo two primes. Chunks are hashed on their own and combined by
-length-shifted arithmetic, so a huge text needs one chunk in memory at a time and chunks may be hashed anywhere. Rows of equal
-fingerprint and length are then compared with their group's first row, chunk by chunk; a row that differs (a collision) is
-grouped by its SHA-256 instead.
+length-shifted arithmetic: chunks of a text over HUGE bytes are dealt out over tasks, hashed there and put together from
+their fingerprints alone. Rows of equal fingerprint and length are then compared with their group's first row, chunk by chunk; a
+row that differs (a collision) is grouped by its SHA-256 instead.
 
 Texts are compared after each run of ASCII white space becomes one space. Null text is empty, and empty texts are equal. Rows
-with a null id are left out, as results are keyed by it; repeated ids count as rows of their own; extra columns are ignored.
+with a null id are left out, as results are keyed by it; repeated ids count as rows of their own, told apart by their text (where
+text and id are equal, the rows have the same result); extra columns are ignored; an empty table gives an empty result.
 Hot groups: sizes are pre-aggregated, and members meet their group's row in joins that the runtime splits.
 """
 
@@ -23,6 +24,8 @@ PRIMES = (2147483647, 2147483629)
 BASES = (1103515245, 1566083941)
 CHUNK = 1 << 15
 COMPARE_CHARS = 1 << 18
+#: Texts of more bytes are hashed in chunks of COMPARE_CHARS characters, on any task.
+HUGE = 4 << 20
 
 
 class Polynomial:
@@ -62,6 +65,20 @@ def _fingerprints(batches):
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(prints, pa.int64()), pa.array(np.diff(at), pa.int64())], ["doc_id", "sha", "print", "n_bytes"])
 
 
+def _combined(batches):
+    """(doc_id, sha, pieces of (chunk, print, n_bytes)) to the fingerprint of the whole text."""
+    for batch in batches:
+        prints, sizes = [], []
+        for pieces in batch.column(2).to_pylist():
+            total, size = (0, 0), 0
+            for p in sorted(pieces, key=lambda p: p["chunk"]):
+                total = Polynomial.combine(total, (p["print"] >> 31, p["print"] & (1 << 31) - 1), p["n_bytes"])
+                size += p["n_bytes"]
+            prints.append(total[0] << 31 | total[1])
+            sizes.append(size)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints, pa.int64()), pa.array(sizes, pa.int64())], ["doc_id", "sha", "print", "n_bytes"])
+
+
 def normalised(text):
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
@@ -72,23 +89,56 @@ def _chunks(docs: DataFrame, keys: list[str]) -> DataFrame:
     return docs.select(*keys, F.posexplode(piece).alias("chunk", "part"))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+PRINTS = "doc_id long, sha binary, print long, n_bytes long"
+
+
+def _printed(texts: DataFrame, huge: int) -> DataFrame:
+    """A fingerprint per row. Chunks of texts over `huge` bytes are dealt out, hashed apart and combined."""
+    sha = F.unhex(F.sha2(F.col("norm").cast("binary"), 256)).alias("sha")
+    small = texts.where(F.col("raw_bytes") <= huge).select("doc_id", sha, "norm").mapInArrow(tidied(_fingerprints), PRINTS)
+    dealt = _chunks(texts.where(F.col("raw_bytes") > huge).select("doc_id", sha, "norm"), ["doc_id", "sha"]).repartition("doc_id", "sha", "chunk")
+    # A row that is repeated as a whole has each of its chunks as often.
+    apart = dealt.withColumn("key", F.struct("doc_id", "sha", "chunk")).select("key", F.lit(None).cast("binary").alias("sha"), "part")
+    hashed = apart.mapInArrow(tidied(_fingerprints_of_chunks), "doc_id long, sha binary, chunk int, print long, n_bytes long")
+    chunks = hashed.groupBy("doc_id", "sha", "chunk").agg(F.first("print").alias("print"), F.first("n_bytes").alias("n_bytes"), F.count("*").alias("copies"))
+    whole = chunks.groupBy("doc_id", "sha").agg(F.collect_list(F.struct("chunk", "print", "n_bytes")).alias("pieces"), F.max("copies").alias("copies"))
+    whole = whole.select("doc_id", "sha", "pieces", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    return small.unionByName(whole.select("doc_id", "sha", "pieces").mapInArrow(_combined, PRINTS))
+
+
+def _fingerprints_of_chunks(batches):
+    poly = Polynomial()
+    for batch in batches:
+        for part in byte_slices(batch, 2):
+            flat, at = text_bytes(part.column(2))
+            key = part.column(0)
+            prints = [poly.of(flat[at[i] : at[i + 1]]) for i in range(len(part))]
+            yield pa.RecordBatch.from_arrays([*key.flatten(), pa.array(prints, pa.int64()), pa.array(np.diff(at), pa.int64())], ["doc_id", "sha", "chunk", "print", "n_bytes"])
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", huge: int = HUGE) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm"))
-    prints = texts.select("doc_id", F.unhex(F.sha2(F.col("norm").cast("binary"), 256)).alias("sha"), "norm").mapInArrow(tidied(_fingerprints), "doc_id long, sha binary, print long, n_bytes long")
-    prints = materialize(prints, "dedup-prints")
-    groups = prints.groupBy("print", "n_bytes").agg(F.count("*").alias("size"), F.min("doc_id").alias("rep"))
-    groups = materialize(groups.where("size > 1"), "dedup-groups")
-    members = materialize(prints.join(groups, ["print", "n_bytes"]).select("doc_id", "rep", "sha"), "dedup-members")
+    text = F.col(text_col)
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.octet_length(F.coalesce(text, F.lit(""))).alias("raw_bytes"), normalised(text).alias("norm"))
+    prints = materialize(_printed(texts, huge), "dedup-prints")
+    row = ["doc_id", "sha"]  # rows of a repeated id are told apart by their text
+    groups = prints.groupBy("print", "n_bytes").agg(F.count("*").alias("size"), F.min(F.struct(*row)).alias("rep"))
+    groups = materialize(groups.where("size > 1").select("print", "n_bytes", F.col("rep.doc_id").alias("rep"), F.col("rep.sha").alias("rep_sha")), "dedup-groups")
+    members = materialize(prints.join(groups, ["print", "n_bytes"]).select(*row, "rep", "rep_sha"), "dedup-members")
     # Chunkwise comparison with the group's first row.
-    pairs = members.where("doc_id <> rep").select("doc_id", "rep").distinct()
-    wanted = materialize(texts.join(members.select("doc_id").distinct(), "doc_id", "left_semi"), "dedup-texts")
-    theirs = _chunks(wanted.join(pairs, "doc_id"), ["doc_id", "rep"])
-    firsts = _chunks(wanted.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").withColumnRenamed("doc_id", "rep"), ["rep"])
-    same = theirs.alias("t").join(firsts.withColumnRenamed("part", "first"), ["rep", "chunk"]).groupBy("doc_id").agg(F.min(F.col("part") == F.col("first")).alias("same"))
+    pairs = members.where("doc_id <> rep OR sha <> rep_sha").distinct()
+    named = texts.select("doc_id", F.unhex(F.sha2(F.col("norm").cast("binary"), 256)).alias("sha"), "norm")
+    wanted = materialize(named.join(members.select(*row).distinct(), row, "left_semi"), "dedup-texts")
+    theirs = _chunks(wanted.join(pairs, row), [*row, "rep", "rep_sha"])
+    reps = groups.select(F.col("rep").alias("doc_id"), F.col("rep_sha").alias("sha")).distinct()
+    firsts = _chunks(wanted.join(reps, row, "left_semi").select(F.col("doc_id").alias("rep"), F.col("sha").alias("rep_sha"), "norm"), ["rep", "rep_sha"])
+    firsts = firsts.groupBy("rep", "rep_sha", "chunk").agg(F.first("part").alias("first"))
+    same = theirs.join(firsts, ["rep", "rep_sha", "chunk"]).groupBy(*row).agg(F.min(F.col("part") == F.col("first")).alias("same"))
     same = materialize(same, "dedup-same")
-    judged = materialize(members.join(same, "doc_id", "left").select("doc_id", "rep", F.when(F.coalesce("same", F.lit(True)), F.lit(None)).otherwise(F.col("sha")).alias("other")), "dedup-judged")
-    final = materialize(judged.groupBy("rep", F.coalesce("other", F.lit(b"")).alias("other")).agg(F.count("*").alias("group_size"), F.min("doc_id").alias("keep_id")), "dedup-final")
-    grouped = materialize(judged.withColumn("other", F.coalesce("other", F.lit(b""))).join(final, ["rep", "other"]).select("doc_id", "keep_id", "group_size").distinct(), "dedup-grouped")
-    out = prints.join(grouped, "doc_id", "left")
+    nothing = F.lit(b"")
+    judged = members.join(same, row, "left").select(*row, "rep", "rep_sha", F.when(F.coalesce("same", F.lit(True)), nothing).otherwise(F.col("sha")).alias("other"))
+    judged = materialize(judged, "dedup-judged")
+    final = materialize(judged.groupBy("rep", "rep_sha", "other").agg(F.count("*").alias("group_size"), F.min("doc_id").alias("keep_id")), "dedup-final")
+    grouped = materialize(judged.join(final, ["rep", "rep_sha", "other"]).select(*row, "keep_id", "group_size").distinct(), "dedup-grouped")
+    out = prints.join(grouped, row, "left")
     return out.select("doc_id", F.coalesce("keep_id", "doc_id").alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), (F.coalesce("keep_id", "doc_id") == F.col("doc_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))

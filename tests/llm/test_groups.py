@@ -227,6 +227,20 @@ def test_exact_dedup_equals_brute_force(awkward, awkward_rows, nothing):
     assert exact_dedup.exact_dedup(nothing).count() == 0
 
 
+def test_exact_dedup_tells_rows_of_a_repeated_id_apart(spark):
+    rows = [(1, "a"), (1, "b"), (2, "a"), (3, "b"), (3, "b"), (4, "c"), (4, "d")]
+    got = sorted((r["doc_id"], r["text_sha256"][:8], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    sha = {t: hashlib.sha256(t.encode()).hexdigest()[:8] for t in "abcd"}
+    assert got == sorted([(1, sha["a"], 1, 2, True), (1, sha["b"], 1, 3, True), (2, sha["a"], 1, 2, False), (3, sha["b"], 1, 3, False), (3, sha["b"], 1, 3, False), (4, sha["c"], 4, 1, True), (4, sha["d"], 4, 1, True)])
+
+
+def test_exact_dedup_of_huge_texts_hashes_chunks_apart(spark, awkward, awkward_rows, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "COMPARE_CHARS", 7)
+    want = sorted(map(tuple, exact_dedup.exact_dedup(awkward).collect()))
+    got = exact_dedup.exact_dedup(awkward, huge=10)
+    assert sorted(map(tuple, got.collect())) == want and len(want) == sum(i is not None for i, _ in awkward_rows)
+
+
 def test_equal_fingerprints_of_different_texts_are_told_apart(spark, monkeypatch):
     monkeypatch.setattr(exact_dedup.Polynomial, "of", lambda self, data: 1)
     monkeypatch.setattr(exact_dedup, "COMPARE_CHARS", 4)
