@@ -70,6 +70,40 @@ def test_token_counts_of_a_sentencepiece_model(spark):
     assert {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(docs, path).collect()} == {1: len(model.encode("Hello, world")), 2: 0, 3: len(model.encode("é 😀"))}
 
 
+@pytest.mark.parametrize("file", ["word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"])
+def test_texts_that_differ_in_white_space_have_their_own_counts(spark, file):
+    import public_tokenizers
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(file)
+    texts = ["a\n\nb", "a b", "a\tb", "a     b", " a b", "a b ", "a\x0bb", "\n", "", None]
+    if file.endswith(".json"):
+        want = [len(Tokenizer.from_file(path).encode(t or "", add_special_tokens=False).ids) for t in texts]
+    else:
+        want = [len(sentencepiece.SentencePieceProcessor(model_file=path).encode(t or "")) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = token_counts.token_counts(docs, path).collect()
+    assert [r["n_tokens"] for r in sorted(got, key=lambda r: r["doc_id"])] == want
+
+
+def test_token_counts_need_no_encoder_when_the_cache_has_all(spark, tmp_path, monkeypatch):
+    cache = str(tmp_path / "cache")
+    docs = spark.createDataFrame([(1, "a b"), (2, "c d e")], "doc_id long, text string")
+    token_counts.token_counts(docs, VOCABULARY, cache_path=cache).collect()
+
+    def fails(path):
+        def run(batches):
+            for batch in batches:
+                raise AssertionError(f"encodes {batch.num_rows} texts")
+            yield from ()
+
+        return run
+
+    monkeypatch.setattr(token_counts, "_encode", fails)
+    assert {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(docs, VOCABULARY, cache_path=cache).collect()} == {1: 2, 2: 3}
+
+
 def test_packing_round_trip(awkward, awkward_rows):
     pieces = [r.asDict() for r in packing.pack(awkward, VOCABULARY).collect()]
     library = WordEncoder(VOCABULARY).library
