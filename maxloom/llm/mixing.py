@@ -13,10 +13,13 @@ row is in the mix. With given weights the mix ends at the first slot whose sourc
 `left_out` counts), as from there on the weights cannot be kept; rows beyond it keep their slot.
 
 DataFrame functions only. Rows are numbered inside (source, hash bucket), and buckets' offsets are added, so a source that
-holds a third of all rows is spread over all tasks. Broadcast: one period (at most MAX_PERIOD rows and one per source) and one row per source (at most
-MAX_SOURCES, else it raises). Null source is a source of its own; null ids are placed by their hash; rows equal in hash and id
-are told apart by what else they hold, or are equal, so ties are harmless; columns named like the results (PLACED) are replaced; an empty table
-gives an empty result.
+holds a third of all rows is spread over all tasks. Broadcast: one period (at most MAX_PERIOD rows and one per source) and one row
+per scheduled source (at most MAX_SOURCES). More sources than that share MAX_SOURCES lanes by their hash: a lane is scheduled like a source,
+and in it rows stand by their place in their own source (as a fraction of its size), so each source is spread evenly over its lane.
+
+Null source is a source of its own. Rows are ordered by a hash of the whole row (all columns but maps), so null and
+repeated ids are spread and rows that differ have one order, also when a task runs again; rows equal in all are interchangeable.
+Columns named like the results (PLACED) are replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,6 +36,8 @@ SEED = 20
 MAX_PERIOD = 10_000
 MAX_SOURCES = 1_000
 BUCKET_ROWS = 16_384
+#: Phases of sources in the middle half of a whole mix, a golden section apart, so equal sources don't all idle at once. A mix that ends has none, so a small source is in it.
+GOLDEN = (5**0.5 - 1) / 2
 PLACED = ("block", "place", "slot", "in_mix")
 
 
@@ -59,43 +64,66 @@ def schedule_sql(slots: list[int]) -> str:
     return f"aggregate(sequence(0, {period - 1}), {zero}, (acc, t) -> {step}, acc -> acc.picks)"
 
 
-def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, id_col: str = "doc_id", source_col: str = "source", block_docs: int = BLOCK_DOCS, period: int = PERIOD, seed: int = SEED) -> DataFrame:
+def _numbered(rows: DataFrame, order: str, n_rows: int) -> DataFrame:
+    """`rows` with __index, the place of each among those of its __s in order of the long column `order`, and __size, how many there are."""
+    bits = max(8, (n_rows // BUCKET_ROWS).bit_length())
+    rows = rows.withColumn("__bucket", F.shiftrightunsigned(F.col(order), 64 - bits))
+    sizes = rows.groupBy(F.col("__s").alias("__t"), F.col("__bucket").alias("__b")).agg(F.count("*").alias("__n"))
+    every = Window.partitionBy("__t")
+    sizes = sizes.select("__t", "__b", (F.sum("__n").over(every.orderBy("__b")) - F.col("__n")).alias("__before"), F.sum("__n").over(every).alias("__size"))
+    # Unsigned, as buckets are: the sign bit is turned.
+    own = Window.partitionBy("__s", "__bucket").orderBy(F.col(order).bitwiseXOR(F.lit(-(2**63))), "__digest")
+    rows = rows.withColumn("__number", F.row_number().over(own) - 1)
+    rows = rows.join(sizes, F.col("__s").eqNullSafe(F.col("__t")) & (F.col("__bucket") == F.col("__b")))
+    return rows.withColumn("__index", F.col("__number") + F.col("__before")).drop("__t", "__b", "__n", "__number", "__before", "__bucket")
+
+
+def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, id_col: str = "doc_id", source_col: str = "source", block_docs: int = BLOCK_DOCS, period: int = PERIOD, seed: int = SEED, max_sources: int = MAX_SOURCES) -> DataFrame:
     """`docs` with block (of its source), place (in the block), slot and in_mix; sources without weight are not in the mix and have null slots."""
     if period > MAX_PERIOD:
         raise ValueError(f"a period has at most {MAX_PERIOD} slots")
+    if weights and len(weights) > max_sources:
+        raise ValueError(f"weights for more than {max_sources} sources")
     spark = docs.sparkSession
-    counted = docs.groupBy(F.col(source_col).alias("s")).count().limit(MAX_SOURCES + 1).collect()
-    if len(counted) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    counts = {r["s"]: r["count"] for r in counted}
+    plain = [f.name for f in docs.schema.fields if "map" not in f.dataType.simpleString()]
+    source = F.col(source_col).cast("string")
+    rows = docs.withColumn("__s", source).withColumn("__digest", F.xxhash64(*plain)).withColumn("__h", F.xxhash64(F.col(id_col), "__digest", F.lit(seed)))
+    counted = docs.groupBy(source.alias("s")).count()
+    if weights:
+        known = [s for s in weights if s is not None]
+        counted = counted.where(F.col("s").isin(known) | (F.col("s").isNull() if None in weights else F.lit(False)))
+    counts = {r["s"]: r["count"] for r in counted.limit(max_sources + 1).collect()}
+    order = "__h"
+    n_rows = sum(counts.values())
+    if len(counts) > max_sources:
+        n_rows = docs.count()
+        # A row's place in its source, as a fraction of 2^64; the low bits keep rows of different sources apart.
+        rows = _numbered(rows, "__h", n_rows).withColumn("__f", (F.col("__index") + 0.5) / F.col("__size"))
+        high = F.floor(F.col("__f") * 2**40).cast("long")
+        rows = rows.withColumn("__f", F.shiftleft(high, 24).bitwiseOR(F.shiftrightunsigned("__h", 40))).drop("__index", "__size")
+        rows = rows.withColumn("__s", F.pmod(F.xxhash64(F.coalesce("__s", F.lit("")), F.lit(seed)), F.lit(max_sources)).cast("string"))
+        counts = {r["s"]: r["count"] for r in rows.groupBy(F.col("__s").alias("s")).count().collect()}
+        order = "__f"
     blocks = {s: -(-n // block_docs) for s, n in counts.items()}
     slots, exact = shares(blocks, weights, period), rates(blocks, weights, period)
     names = sorted(slots, key=lambda s: (s is None, s or ""))
+    kept = [c for c in docs.columns if c not in PLACED]
     if not names:
-        return docs.select(*[c for c in docs.columns if c not in PLACED], *[F.lit(None).cast("long").alias(c) for c in ("block", "place", "slot")], F.lit(False).alias("in_mix"))
-    one = spark.createDataFrame([(i, s, slots[s], max(1.0, slots[s] / exact[s]), blocks[s]) for i, s in enumerate(names)], "i int, s string, p long, stride double, blocks long")
-    # Whole mixes have blocks in the middle of their windows; a mix that ends has them at the start, so a small source is in it.
-    phase, period = 0.0 if weights else 0.5, sum(slots.values())
-    turn = lambda block, stride: F.floor((F.col(block) + F.lit(phase)) * F.col(stride))
+        return docs.select(*kept, *[F.lit(None).cast("long").alias(c) for c in ("block", "place", "slot")], F.lit(False).alias("in_mix"))
+    one = spark.createDataFrame([(i, s, slots[s], max(1.0, slots[s] / exact[s]), blocks[s], 0.0 if weights else 0.25 + (0.5 + i * GOLDEN) % 1 / 2) for i, s in enumerate(names)], "i int, s string, p long, stride double, blocks long, phase double")
+    period = sum(slots.values())
+    turn = lambda block, prefix="": F.floor((F.col(block) + F.col(f"{prefix}phase")) * F.col(f"{prefix}stride"))
     plan = spark.range(1).select(F.posexplode(F.expr(schedule_sql([slots[s] for s in names]))).alias("at", "i"))
     plan = plan.select("at", "i", (F.row_number().over(Window.partitionBy("i").orderBy("at")) - 1).cast("long").alias("j"))
     inside = F.col("slot").isNotNull()
     if weights:
         # The first slot of a block that is not there, and the least of them over all sources.
-        ends = one.withColumn("turn", turn("blocks", "stride")).withColumn("j", F.col("turn") % F.col("p"))
+        ends = one.withColumn("turn", turn("blocks")).withColumn("j", F.col("turn") % F.col("p"))
         inside = F.col("slot") < ends.join(F.broadcast(plan), ["i", "j"]).select(F.min(F.expr(f"turn div p * {period} + at")).alias("end")).first()["end"]
-    bits = max(8, (sum(counts.values()) // BUCKET_ROWS).bit_length())
-    source, own = F.col(source_col), Window.partitionBy("__s", "__bucket")
-    numbered = docs.withColumn("__s", source).withColumn("__h", F.xxhash64(F.col(id_col), F.lit(seed))).withColumn("__bucket", F.shiftrightunsigned(F.col("__h"), 64 - bits))
-    sizes = numbered.groupBy(F.col("__s").alias("__t"), F.col("__bucket").alias("__b")).agg(F.count("*").alias("__n"))
-    sizes = sizes.select("__t", "__b", (F.sum("__n").over(Window.partitionBy("__t").orderBy("__b")) - F.col("__n")).alias("__before"))
-    numbered = numbered.withColumn("__number", F.row_number().over(own.orderBy("__h", id_col)) - 1)
-    numbered = numbered.join(sizes, F.col("__s").eqNullSafe(F.col("__t")) & (F.col("__bucket") == F.col("__b")))
-    index = F.col("__number") + F.col("__before")
-    kept = [c for c in docs.columns if c not in PLACED]
-    placed = numbered.select(*kept, F.col("__s").alias("__source"), F.expr(f"(__number + __before) div {block_docs}").alias("block"), (index % block_docs).cast("long").alias("place"))
-    placed = placed.join(F.broadcast(one.select(F.col("s").alias("__s"), F.col("i").alias("__i"), F.col("p").alias("__p"), F.col("stride").alias("__stride"))), F.col("__source").eqNullSafe(F.col("__s")), "left")
-    placed = placed.withColumn("__turn", turn("block", "__stride"))
+    placed = _numbered(rows, order, n_rows)
+    placed = placed.select(*kept, F.col("__s").alias("__source"), F.expr(f"__index div {block_docs}").alias("block"), (F.col("__index") % block_docs).cast("long").alias("place"))
+    placed = placed.join(F.broadcast(one.select(F.col("s").alias("__s"), F.col("i").alias("__i"), F.col("p").alias("__p"), F.col("stride").alias("__stride"), F.col("phase").alias("__phase"))), F.col("__source").eqNullSafe(F.col("__s")), "left")
+    placed = placed.withColumn("__turn", turn("block", "__"))
     placed = placed.join(F.broadcast(plan.select(F.col("i").alias("__pi"), F.col("j").alias("__j"), F.col("at").alias("__at"))), (F.col("__i") == F.col("__pi")) & (F.col("__turn") % F.col("__p") == F.col("__j")), "left")
     placed = placed.withColumn("slot", F.expr(f"__turn div __p * {period} + __at"))
     return placed.select(*kept, "block", "place", "slot", F.coalesce(inside, F.lit(False)).alias("in_mix"))

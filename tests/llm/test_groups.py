@@ -338,6 +338,29 @@ def test_tiny_and_null_sources_do_not_end_the_mix(spark):
     assert weighted.in_mix.sum() > 19_800 and weighted.slot.notna().all()
 
 
+def test_more_sources_than_lanes_are_spread_evenly(spark):
+    sizes = {**{f"s{k:02}": 40 + 10 * k for k in range(30)}, "big": 2000, None: 90}
+    table = spark.createDataFrame([(i, s) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))], "doc_id long, source string")
+    got = mixing.mix(table, max_sources=5).toPandas()
+    assert len(got) == sum(sizes.values()) and got.in_mix.all() and not got.duplicated(["slot", "place"]).any()
+    # Each source is within a few blocks of its share all along.
+    source, rank = got.source.fillna("none"), got.sort_values(["slot", "place"]).reset_index(drop=True)
+    named = rank.source.fillna("none")
+    for s, n in sizes.items():
+        at = np.flatnonzero(named == (s or "none"))
+        assert len(at) == n and np.abs((np.arange(n) + 0.5) / n - at / len(got)).max() < 0.12, s
+    with pytest.raises(ValueError):
+        mixing.mix(table, dict.fromkeys(map(str, range(6)), 1.0), max_sources=5)
+
+
+def test_mix_places_rows_of_equal_ids_by_what_else_they_hold(spark):
+    rows = [(1, "a", f"text {k}") for k in range(200)] + [(None, "a", f"other {k}") for k in range(200)]
+    table = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    first = {r["text"]: (r["slot"], r["place"]) for r in mixing.mix(table).collect()}
+    second = {r["text"]: (r["slot"], r["place"]) for r in mixing.mix(table.repartition(7, "text").orderBy(F.desc("text"))).collect()}
+    assert first == second and len(set(first.values())) == 400
+
+
 def test_a_hot_source_is_kept_whole_and_spread_to_the_end(spark):
     sizes = {"hot": 3000, **{f"s{k:02}": 300 for k in range(20)}}
     table = spark.createDataFrame([(i, s) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))], "doc_id long, source string")
