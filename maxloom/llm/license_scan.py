@@ -1,33 +1,35 @@
 """License scans: phrase places, and an exact set-similarity join of text blocks with license templates.
 
 Words are runs of ASCII letters and digits and non-ASCII characters, lower case. Base: places where a phrase's words stand
-consecutively. Method: text blocks are sentences and lines, longer ones cut into overlapping blocks of BLOCK words (step STEP,
-so a notice of up to STEP words lies whole in one of them); a block matches a template when it holds at least CONTAINMENT of
-the template's distinct words. Template words are ordered by how many documents hold them, rarest first. A match must hold one of the first
-|T| - ceil(c|T|) + 1 (prefix filter), have ceil(c|T|) distinct words (length filter), and still be able to reach that many
-after its first hit at place p of the order (positional filter); what is left is verified exactly.
-
-DataFrame functions only. The broadcast tables hold the templates' words, a constant. Null and empty texts have no words and
-no labels. Rows are matched back by id and text hash, so null ids and repeated ids keep results of their own; extra columns are ignored.
+consecutively. Method: a template's text blocks are all stretches of SLACK times as many words as it has, from every word of
+the text on, whatever lines, sentences or comment marks lie between; a block matches when it holds at least CONTAINMENT of the
+template's distinct words. Template words are ordered by how many documents hold them, rarest first. With need = ceil(c |T|),
+a block's rarest hit must be one of the first |T| - need + 1 (prefix filter), the words around that hit must hold as many distinct
+words as needed (length filter), and template words from that place of the order on must suffice (positional filter). What
+is left is verified exactly, block by block around the hit.
+
+DataFrame functions only. The broadcast tables hold the templates' words, a constant. A text of any length is looked at only around
+its hits. Null and empty texts have no words and no labels. Rows are matched back by id and text hash, so null ids and
+repeated ids keep results of their own; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import string
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SENTENCE_END = r"[.!?][\x09-\x0D ]+|[\x0A\x0D]+"
-BLOCK = 64
-STEP = 32
+#: Words of a block for each word of the template: room for words put in between.
+SLACK = 1.25
 CONTAINMENT = 0.9
 
 # Phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-# Notices by label, each at most STEP words.
+# Notices by label.
 TEMPLATES = [
     ("mit", "Released under the MIT License."),
     ("mit", "Licensed under the MIT License."),
@@ -53,8 +55,16 @@ def _needed(size: int) -> int:
     return math.ceil(CONTAINMENT * size - 1e-9)
 
 
+def block_words(text: str) -> int:
+    """Words of a template's blocks."""
+    return math.ceil(SLACK * len(tokens(text)))
+
+
 def _words(text):
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
+    text = F.coalesce(text, F.lit(""))
+    # A to Z alone: lower() would turn some characters beyond ASCII into ASCII ones.
+    text = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
+    return F.array_remove(F.split(text, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
 
 
 def _lits(values: list[str]):
@@ -89,32 +99,28 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rank = frequency_order(rows)
     known = sorted(rank, key=rank.get)
     # Templates: ranks in ascending order, so the rarest word first.
-    table, heads = [], []
-    for number, (label, text) in enumerate(TEMPLATES):
+    heads = []
+    for label, text in TEMPLATES:
         ranks = sorted({rank[t] for t in tokens(text)})
         need = _needed(len(ranks))
-        table.append((number, label, ranks, need))
-        heads += [(r, number, place) for place, r in enumerate(ranks[: len(ranks) - need + 1])]
-    templates = spark.createDataFrame(table, "template int, label string, ranks array<int>, need int")
-    prefixes = spark.createDataFrame(heads, "rank int, template int, place int")
-    head_words = [known[r] for r in sorted({h[0] for h in heads})]
+        heads += [(known[r], label, ranks, ranks[place:], need, block_words(text)) for place, r in enumerate(ranks[: len(ranks) - need + 1])]
+    prefixes = spark.createDataFrame(heads, "word string, label string, ranks array<int>, later array<int>, need int, width int")
+    head_words = _lits(sorted({h[0] for h in heads}))
     code = F.create_map(*[F.lit(x) for w in known for x in (w, rank[w])])
-    # Documents with a prefix word, cut into blocks; each block keeps the ranks of its template words and how many distinct words it has.
-    some = rows.where(F.arrays_overlap("words", _lits(head_words)))
-    some = some.select("doc_id", "h", F.explode(F.split("text", SENTENCE_END)).alias("text")).select("doc_id", "h", _words(F.col("text")).alias("words"))
-    some = some.where(F.arrays_overlap("words", _lits(head_words)))
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("words") - 1), F.lit(STEP))
-    blocks = some.select("doc_id", "h", F.explode(F.transform(starts, lambda i: F.slice("words", i + 1, F.lit(BLOCK)))).alias("block"))
-    blocks = blocks.where(F.arrays_overlap("block", _lits(head_words)))
-    blocks = blocks.select("doc_id", "h", F.array_sort(F.transform(F.array_intersect("block", _lits(known)), lambda w: F.element_at(code, w))).alias("found"), F.size(F.array_distinct("block")).alias("size"))
-    candidates = blocks.select("*", F.explode("found").alias("rank")).join(F.broadcast(prefixes), "rank").join(F.broadcast(templates), "template")
-    candidates = candidates.where(F.col("size") >= F.col("need"))
-    # At its first hit nothing of the template before `place` is in the block; what stands from there on, on either side, must suffice.
-    rest = F.size(F.filter("found", lambda r: r >= F.col("rank")))
-    first = F.col("rank") == F.array_min(F.array_intersect("ranks", "found"))
-    candidates = candidates.where(first & (F.least(F.size("ranks") - F.col("place"), rest) >= F.col("need")))
-    share = F.size(F.array_intersect("found", "ranks")) / F.size("ranks")
-    matched = candidates.where(F.size(F.array_intersect("found", "ranks")) >= F.col("need")).groupBy("doc_id", "h").agg(F.collect_set("label").alias("method"), F.max(share).alias("best"))
+    # Every place of a prefix word with the words of all blocks that hold it, as ranks (-1: no template's word).
+    some = rows.where(F.arrays_overlap("words", head_words)).select("doc_id", "h", "words")
+    places = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.array_contains(head_words, F.get("words", i)))
+    hits = some.select("doc_id", "h", "words", F.explode(places).alias("at")).withColumn("word", F.get("words", F.col("at"))).join(F.broadcast(prefixes), "word")
+    first = F.greatest(F.lit(0), F.col("at") - F.col("width") + 1)
+    around = F.slice("words", first + 1, F.col("at") + F.col("width") - first)
+    hits = hits.select("doc_id", "h", "label", "ranks", "later", "need", "width", (F.col("at") - first).alias("at"), around.alias("around"))
+    hits = hits.where(F.size(F.array_distinct("around")) >= F.col("need"))
+    hits = hits.withColumn("around", F.transform("around", lambda w: F.coalesce(F.try_element_at(code, w), F.lit(-1))))
+    candidates = hits.where(F.size(F.array_intersect("around", "later")) >= F.col("need"))
+    # Blocks from each word on that hold the hit; a block whose rarest hit is another one is found from there, or here as well.
+    sizes = F.transform(F.sequence(F.lit(0), F.col("at")), lambda i: F.size(F.array_intersect(F.slice("around", i + 1, F.col("width")), F.col("ranks"))))
+    matched = candidates.withColumn("held", F.array_max(sizes)).where("held >= need")
+    matched = matched.groupBy("doc_id", "h").agg(F.collect_set("label").alias("method"), F.max(F.col("held") / F.size("ranks")).alias("best"))
     # Base.
     n = F.size("words")
     base = rows.select("doc_id", "h", n.cast("long").alias("n_words"), *[_places(F.col("words"), n, p).alias(label) for p, label in PHRASES.items()])
@@ -129,8 +135,8 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def oracle() -> str:
-    """The same result by brute force in DuckDB: every block against every template."""
-    table = ", ".join(f"('{label}', {sorted(set(tokens(text)))!r})" for label, text in TEMPLATES)
+    """The same result by brute force in DuckDB: all hits of every template's words, and every block that starts at one of them."""
+    texts = ", ".join(f"({number}, '{label}', {sorted(set(tokens(text)))!r}, {block_words(text)})" for number, (label, text) in enumerate(TEMPLATES))
     phrase = lambda p: " AND ".join(f"words[i + {k}] = '{w}'" for k, w in enumerate(p.split(), 1))
     hits = " UNION ALL ".join(f"SELECT doc_id, i, '{label}' AS label FROM (SELECT doc_id, words, unnest(range(len(words))) AS i FROM w) WHERE {phrase(p)}" for p, label in PHRASES.items())
     words = lambda text: f"list_filter(regexp_split_to_array(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
@@ -138,10 +144,11 @@ def oracle() -> str:
         WITH w AS (SELECT doc_id, {words("coalesce(text, '')")} AS words FROM documents),
         hits AS ({hits}),
         base AS (SELECT doc_id, count(*) AS n, min(i) AS lo, max(i) AS hi, list(DISTINCT label) AS labels FROM hits GROUP BY doc_id),
-        t(label, words) AS (VALUES {table}),
-        s AS (SELECT doc_id, {words("part")} AS words FROM (SELECT doc_id, unnest(regexp_split_to_array(coalesce(text, ''), '{SENTENCE_END}')) AS part FROM documents)),
-        b AS (SELECT doc_id, words[i * {STEP} + 1 : i * {STEP} + {BLOCK}] AS words FROM (SELECT doc_id, words, unnest(range(CAST(ceil(greatest(len(words), 1) / {STEP}) AS BIGINT))) AS i FROM s)),
-        m AS (SELECT doc_id, label, len(list_intersect(t.words, b.words)) AS o, len(t.words) AS n FROM b, t),
+        t(t, label, words, width) AS (VALUES {texts}),
+        u AS (SELECT t, label, len(words) AS n, width, unnest(words) AS word FROM t),
+        p AS (SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS i FROM w),
+        h AS (SELECT doc_id, i, t, label, n, width, u.word FROM p JOIN u USING (word)),
+        m AS (SELECT a.doc_id, a.label, a.n, count(DISTINCT b.word) AS o FROM h a JOIN h b ON a.doc_id = b.doc_id AND a.t = b.t AND b.i >= a.i AND b.i < a.i + a.width GROUP BY a.doc_id, a.t, a.label, a.n, a.i),
         method AS (SELECT doc_id, list(DISTINCT label) AS labels, max(o / n) AS best FROM m WHERE o >= ceil({CONTAINMENT} * n - 1e-9) GROUP BY doc_id)
         SELECT w.doc_id, CAST(len(w.words) AS BIGINT) AS n_words, coalesce(base.n, 0) AS n_base, lo AS first_word, hi AS last_word,
             coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,

@@ -2,6 +2,8 @@
 
 import os
 import random
+import re
+import textwrap
 import zlib
 
 import duckdb
@@ -164,6 +166,43 @@ def test_license_scan_equals_brute_force(spark, awkward):
     assert set(got[got.doc_id == 102].labels) == {"mit"} and set(got[got.doc_id == 200].base_labels) == {"cc-by,reserved"}
 
 
+def block_labels(text):
+    """Every stretch of words against every template, in plain Python."""
+    words = re.findall(r"[a-z0-9\x80-\U0010ffff]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
+    found = set()
+    for label, template in license_scan.TEMPLATES:
+        wanted = set(license_scan.tokens(template))
+        width = -(-len(license_scan.tokens(template)) * 5 // 4)
+        if any(10 * len(wanted.intersection(words[i : i + width])) >= 9 * len(wanted) for i in range(len(words))):
+            found.add(label)
+    return found
+
+
+def test_license_notices_are_found_verbatim_wrapped_and_in_comments(spark):
+    rng = random.Random(12)
+    texts = []
+    for _, template in license_scan.TEMPLATES:
+        lines = textwrap.wrap(template, 40)
+        texts += [template, "\n".join(lines), "\n".join("# " + x for x in lines), "/*\n" + "\n".join(" * " + x for x in lines) + "\n */", template.upper(), prose(rng, 50) + " " + template.replace(" ", "\n\n") + " " + prose(rng, 50)]
+    whole = len(texts)
+    # Words left out, put in between and shuffled: some still match.
+    for _, template in license_scan.TEMPLATES * 6:
+        words = template.split(" ")
+        for _ in range(rng.randrange(4)):
+            if rng.random() < 0.5:
+                words.pop(rng.randrange(len(words)))
+            else:
+                words.insert(rng.randrange(len(words)), prose(rng, rng.randrange(1, 4)))
+        texts.append(prose(rng, rng.randrange(20)) + " " + " ".join(words) + " " + prose(rng, rng.randrange(20)))
+    texts += ["mit license the under, released " * 3, "License License License mit", "the of in and", None, ""]
+    got = {r["doc_id"]: r for r in license_scan.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(texts):
+        base = set(filter(None, got[i]["base_labels"].split(",")))
+        assert set(filter(None, got[i]["labels"].split(","))) == base | block_labels(text), text
+    per = whole // len(license_scan.TEMPLATES)
+    assert all(license_scan.TEMPLATES[i // per][0] in got[i]["labels"].split(",") for i in range(whole))
+
+
 def test_license_scan_keeps_null_and_repeated_ids(awkward, awkward_rows, nothing):
     assert license_scan.license_scan(awkward).count() == len(awkward_rows)
     assert license_scan.license_scan(nothing).count() == 0
