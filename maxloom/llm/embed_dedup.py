@@ -1,16 +1,20 @@
 """Embedding near-dedup by a random-projection tree forest.
 
-Trees are fitted on a bounded sample (SAMPLE vectors, those of least hash): each node splits at the median of a random
-projection. Every vector then goes down every tree, to both sides where it is within SPILL of a split, and vectors of one label
-are compared inside leaves, by cosine in double precision. A pair is counted in the first leaf that it shares, so links are
-counted without a row per pair, and links join into components.
+Trees are fitted on a bounded sample (SAMPLE vectors, those of least hash): all nodes of a level of a tree split by one random
+projection, each at its own median of it. Every vector then goes down every tree, to both sides where it is within SPILL times
+the node's spread (its standard deviation, which shrinks as the number of components grows) of the cut, and vectors of one label are
+compared inside leaves, by cosine in double precision. Leaves hold numbers; vectors are joined to them only where leaves are
+compared. A pair is counted in the first leaf that it shares, so links are counted without a row per pair, and links join into
+components.
 
 Recall is a matter of trees and spill: a pair is missed only if every tree parts it by more than the spill; the defaults are
 measured against brute force in the tests. Equal vectors of a label are one vector with copies. Leaves of any size are dealt into
-blocks that meet pair by pair, so a hot label or leaf is spread over tasks and nothing is capped.
+blocks that meet pair by pair, so a hot label or leaf is spread over tasks and nothing is capped. Trees are as deep as leaves of
+LEAF_ROWS need, MAX_DEPTH at most; beyond it leaves grow.
 
 Vectors that are null, empty, zero or hold null or non-finite components, and rows of null label, link with nothing; vectors of
-different length are not compared. Rows with a null id are left out; repeated ids keep a row each; extra columns are ignored.
+different length are not compared. Rows with a null id are left out; repeated ids keep a row each; extra columns are ignored; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,16 +26,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import block_pairs, components, forest, materialize, tidied, whole_groups
 
 COSINE = 0.93
 TREES = 6
-SPILL = 0.03
+#: Half the width of the overlap at a cut, in standard deviations of the node's projections.
+SPILL = 0.08
 SAMPLE = 100_000
 LEAF_ROWS = 256
-LEAST_SAMPLE = 32
 MAX_DEPTH = 16
+#: Fewer sample vectors than this tell no spread of a node; it takes its parent's.
+LEAST_SAMPLE = 8
 BLOCK_ROWS = 512
 SEED = 3
 
@@ -40,8 +47,9 @@ SEED = 3
 class Forest:
     """Trees in level order; leaves are numbered from 0 over all trees."""
 
-    directions: np.ndarray  # trees, nodes, components
+    directions: np.ndarray  # trees, levels, components
     cuts: np.ndarray  # trees, nodes
+    spread: np.ndarray  # trees, nodes
     depth: int
 
     def leaves(self, x: np.ndarray, spill: float) -> tuple[np.ndarray, np.ndarray]:
@@ -49,10 +57,11 @@ class Forest:
         wide = min(x.shape[1], self.directions.shape[2])
         rows, found = [], []
         for tree in range(len(self.cuts)):
+            along = x[:, :wide] @ self.directions[tree, :, :wide].T
             at, node = np.arange(len(x)), np.zeros(len(x), np.int64)
-            for _ in range(self.depth):
-                over = np.einsum("ij,ij->i", x[at, :wide], self.directions[tree, node, :wide]) - self.cuts[tree, node]
-                left, right = over <= spill, over >= -spill
+            for level in range(self.depth):
+                over, near = along[at, level] - self.cuts[tree, node], spill * self.spread[tree, node]
+                left, right = over <= near, over >= -near
                 at, node = np.concatenate([at[left], at[right]]), np.concatenate([2 * node[left] + 1, 2 * node[right] + 2])
             rows.append(at)
             found.append(node - (2**self.depth - 1) + tree * 2**self.depth)
@@ -60,25 +69,32 @@ class Forest:
 
 
 def grow(sample: np.ndarray, largest: int, trees: int = TREES, seed: int = SEED) -> Forest:
-    """Trees deep enough that the largest label's leaves hold about LEAF_ROWS, as far as the sample can tell medians."""
-    depth = math.ceil(math.log2(max(1, largest / LEAF_ROWS)))
-    depth = max(0, min(depth, MAX_DEPTH, int(math.log2(max(1, len(sample) / LEAST_SAMPLE)))))
+    """Trees deep enough that the largest label's leaves hold about LEAF_ROWS; nodes that no sample vector reaches cut like their parents."""
+    depth = min(MAX_DEPTH, math.ceil(math.log2(max(1, largest / LEAF_ROWS))))
     nodes = max(1, 2**depth - 1)
     rng = np.random.default_rng(seed)
-    directions = rng.standard_normal((trees, nodes, sample.shape[1]))
+    directions = rng.standard_normal((trees, max(1, depth), sample.shape[1]))
     directions /= np.linalg.norm(directions, axis=2, keepdims=True)
-    cuts = np.zeros((trees, nodes))
+    cuts, spread = np.zeros((trees, nodes)), np.zeros((trees, nodes))
     for tree in range(trees):
         node = np.zeros(len(sample), np.int64)
         for level in range(depth):
-            over = np.einsum("ij,ij->i", sample, directions[tree, node])
-            order = np.lexsort((over, node))
+            along = sample @ directions[tree, level]
+            order = np.lexsort((along, node))
+            sorted_ = along[order]
             ones = np.arange(2**level - 1, 2 ** (level + 1) - 1)
             at = np.searchsorted(node[order], [*ones, ones[-1] + 1])
-            some = np.flatnonzero(np.diff(at))
-            cuts[tree, ones[some]] = over[order][(at[:-1] + at[1:])[some] // 2]
-            node = 2 * node + 1 + (over > cuts[tree, node])
-    return Forest(directions, cuts, depth)
+            size = np.diff(at)
+            some = size > 0
+            middle = np.full(len(ones), np.median(along) if len(along) else 0.0)
+            middle[some] = sorted_[(at[:-1] + at[1:])[some] // 2]
+            total, square = np.concatenate([[0], np.cumsum(sorted_)]), np.concatenate([[0], np.cumsum(sorted_**2)])
+            n = np.maximum(size, 1)
+            own = np.sqrt(np.maximum((square[at[1:]] - square[at[:-1]]) / n - ((total[at[1:]] - total[at[:-1]]) / n) ** 2, 0))
+            parent = spread[tree, (ones - 1) // 2] if level else np.full(1, along.std() if len(along) else 0.0)
+            cuts[tree, ones], spread[tree, ones] = middle, np.where(size >= LEAST_SAMPLE, own, parent)
+            node = 2 * node + 1 + (along > cuts[tree, node])
+    return Forest(directions, cuts, spread, depth)
 
 
 def _unit(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -95,7 +111,7 @@ def _unit(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def _place(trees: Forest, spill: float):
-    """(k, group, vector) to a row per leaf, each with all leaves of the vector."""
+    """(k, g, vector) to a row per leaf, each with all leaves of the vector."""
 
     def run(batches):
         for batch in batches:
@@ -107,15 +123,15 @@ def _place(trees: Forest, spill: float):
                     at, leaf = at[order], leaf[order]
                     counts = np.bincount(at, minlength=len(rows))
                     ends = np.cumsum(counts)
-                    own = part.take(pa.array(rows[at]))
+                    own = part.select([0, 1]).take(pa.array(rows[at]))
                     lists = [leaf[e - c : e].astype("<i4").tobytes() for e, c in zip(ends, counts, strict=True)]
                     every = pa.array(lists, pa.binary()).take(pa.array(at))
-                    yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(leaf, pa.int32()), every, own.column(3), own.column(2)], ["k", "g", "leaf", "leaves", "copies", "v"])
+                    yield pa.RecordBatch.from_arrays([*own.columns, pa.array(leaf, pa.int32()), every], ["k", "g", "leaf", "leaves"])
 
     return run
 
 
-PLACED = "k long, g long, leaf int, leaves binary, copies long, v array<float>"
+PLACED = "k long, g long, leaf int, leaves binary"
 
 
 def _compare(cosine: float):
@@ -152,7 +168,9 @@ def _compare(cosine: float):
 
 def embed_dedup(vectors: DataFrame, cosine: float = COSINE, trees: int = TREES, spill: float = SPILL, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
-    rows = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<float>").alias("v"))
+    element = vectors.schema[vector_col].dataType.elementType
+    kind = "array<float>" if isinstance(element, T.FloatType) else "array<double>"
+    rows = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).cast(kind).alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & (F.abs(x) < float("inf")) & ~F.isnan(x)) & F.exists("v", lambda x: x != 0)
     valid = F.coalesce(F.col("label").isNotNull() & finite, F.lit(False))
     rows = rows.select("vec_id", F.when(valid, F.xxhash64("label", "v")).alias("k"), "label", "v")
@@ -164,9 +182,10 @@ def embed_dedup(vectors: DataFrame, cosine: float = COSINE, trees: int = TREES,
     sample = [x for _, x in _unit(one.select("k", "v").orderBy(F.xxhash64("k", F.lit(SEED))).limit(SAMPLE).toArrow().column("v").combine_chunks())]
     widest = max(x.shape[1] for x in sample)
     fitted = grow(np.concatenate([np.pad(x, ((0, 0), (0, widest - x.shape[1]))) for x in sample]), largest, trees)
-    placed = materialize(one.select("k", "g", "v", "copies").mapInArrow(tidied(_place(fitted, spill)), PLACED), "embed-placed")
+    placed = materialize(one.select("k", "g", "v").mapInArrow(tidied(_place(fitted, spill)), PLACED), "embed-placed")
     sizes = materialize(placed.groupBy("g", "leaf").agg(F.count("*").alias("size")).where("size > 1"), "embed-leaves")
-    dealt = block_pairs(placed.join(sizes, ["g", "leaf"]), F.col("size"), BLOCK_ROWS, "k").repartition("g", "leaf", "i", "j").sortWithinPartitions("g", "leaf", "i", "j")
+    met = placed.join(sizes, ["g", "leaf"]).join(one.select("k", "copies", "v"), "k")
+    dealt = block_pairs(met, F.col("size"), BLOCK_ROWS, "k").repartition("g", "leaf", "i", "j").sortWithinPartitions("g", "leaf", "i", "j")
     found = materialize(dealt.select("g", "leaf", "i", "j", "side", "k", "copies", "leaves", "v").mapInArrow(tidied(_compare(cosine)), "k long, links long, low long"), "embed-links")
     links = found.groupBy("k").agg(F.sum("links").alias("links"))
     classes = components(found.select(F.col("k").alias("a"), F.col("low").alias("b"))).withColumnRenamed("id", "k")
