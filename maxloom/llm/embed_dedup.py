@@ -33,7 +33,7 @@ from .common import block_pairs, components, forest, materialize, tidied, whole_
 COSINE = 0.93
 TREES = 6
 #: Half the width of the overlap at a cut, in standard deviations of the node's projections.
-SPILL = 0.08
+SPILL = 0.1
 SAMPLE = 100_000
 LEAF_ROWS = 256
 MAX_DEPTH = 16
