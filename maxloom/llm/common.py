@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,9 +22,11 @@ _written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (tests only) a fresh local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a fresh local one if all runs in one process; else an error."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
         where = tempfile.mkdtemp(prefix="maxloom-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where
@@ -38,14 +41,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_tables(spark: SparkSession) -> int:
-    """Delete the tables that this session's operators have written, once their results are stored; how many there were."""
-    n = len(_written)
-    for path in _written:
+def tables_written() -> int:
+    """How many tables this session's operators have written and not dropped."""
+    return len(_written)
+
+
+def drop_tables(spark: SparkSession, since: int = 0, but_last: bool = False) -> int:
+    """Delete the tables that this session's operators have written (from the `since`-th on), once their results are stored; how many there were."""
+    gone = _written[since : -1 if but_last else None]
+    for path in gone:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    _written.clear()
-    return n
+    _written[since:] = _written[since + len(gone) :]
+    return len(gone)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -166,14 +174,14 @@ def row_sets(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return v[keep], np.concatenate([[0], np.cumsum(np.bincount(r[keep], minlength=len(at) - 1))]).astype(np.int64)
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(id, root) for every id in `edges` (a, b): root is the smallest id of its connected component.
 
     Rounds of large-star and small-star, each ending in a table in the shared folder. Every step is a
     partially aggregated minimum and an equi-join that the runtime can split on a hot key; no task ever holds one id's neighbours.
     """
     e = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "cc-edges")
-    for _ in range(most_rounds):
+    while True:  # each round at least halves the longest chain, so it ends
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "cc-low")
         # Large-star: every larger neighbour of a moves to the least id near a.
@@ -188,8 +196,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         e = after
         if tangled.isEmpty():
             break
-    else:
-        raise RuntimeError("components did not settle")
     return e.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
 
 
