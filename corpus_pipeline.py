@@ -6,17 +6,19 @@ near      drops all but the first document of each class of near copies
 mix       orders all rows by slots in which every source has its share of the rows all along; none is left out
 pack      one row per piece of a document in a sequence
 
-Rows of a repeated id share its fate in the stages that join by id; rows with a null id are not compared and stay. Null and empty
-texts are scored, deduplicated, mixed and packed like any other.
+Rows go by id and text, so a unique text stays where its id is repeated; of rows equal in both one stays. Rows with a null id are
+not compared and stay. Null and empty texts are scored, deduplicated, mixed and packed like any other. Stages return the columns of
+`documents` (COLUMNS) and leave out any others; an empty table gives an empty result. Tables that a stage's operator has written
+are dropped once the stage's own table is.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from maxloom.llm.common import materialize, read_table
-from maxloom.llm.exact_dedup import exact_dedup
+from maxloom.llm.common import drop_tables, materialize, read_table, tables_written
+from maxloom.llm.exact_dedup import exact_dedup, normalised
 from maxloom.llm.mixing import mix as mix_rows
 from maxloom.llm.ngram_join import keep_one
 from maxloom.llm.packing import pack
@@ -31,8 +33,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = exact_dedup(docs.select("doc_id", "text")).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(materialize(gone, "exact-gone"), "doc_id", "left_anti")
+    judged = exact_dedup(docs.select("doc_id", "text"))
+    marked = judged.groupBy(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha")).agg(F.max("kept").alias("kept"), F.count("*").alias("rows"))
+    marked = materialize(marked.where("NOT kept OR rows > 1"), "exact-marked")
+    by_row = (F.col("doc_id") == F.col("id")) & (F.sha2(normalised(F.col("text")).cast("binary"), 256) == F.col("sha"))
+    docs = docs.select(*COLUMNS)
+    single = docs.join(marked, by_row, "left_anti")
+    # Rows repeated whole: one of them.
+    repeated = docs.join(marked.where("kept"), by_row, "left_semi")
+    first = Window.partitionBy("doc_id", normalised(F.col("text"))).orderBy("lang", "source", "n_chars", "text")
+    repeated = repeated.withColumn("place", F.row_number().over(first)).where("place = 1").select(*COLUMNS)
+    return single.unionByName(repeated)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,6 +68,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole of `documents`."""
     docs = read_table(spark, sf_dir, "documents")
+    start = tables_written()
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        drop_tables(spark, start, but_last=True)
     return STAGES[-1][1](spark, docs, sf_dir)
