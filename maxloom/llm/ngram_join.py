@@ -35,6 +35,8 @@ TREES = 20
 MAX_DEPTH = 8
 TARGET_RECALL = 0.9999
 BLOCK_ROWS = 256
+#: Rows of a block of a trie's node, where signatures alone are compared.
+NODE_ROWS = 1024
 #: Shingles that a block is dealt, on average, at most.
 BLOCK_SHINGLES = 1 << 20
 
@@ -256,12 +258,12 @@ def candidates(one: DataFrame, similarity: float, recall: float) -> tuple[DataFr
     tries = materialize(_tries(one, least), "join-tries")
     levels, found = [], dict[int, int]()
     for depth in range(MAX_DEPTH, least - 1, -1):
-        places = tries.select("tree", _node(depth), "label", "k")
-        nodes = places.groupBy("tree", "prefix").agg(F.count("*").alias("size"), F.min("label").alias("lowest"), F.max("label").alias("highest")).where("size > 1")
+        places = tries.select("tree", _node(depth), F.xxhash64(F.substring("label", 1, depth + 1)).alias("child"), "k")
+        nodes = places.groupBy("tree", "prefix").agg(F.count("*").alias("size"), F.min("child").alias("first"), F.max("child").alias("last")).where("size > 1")
         if depth < MAX_DEPTH:  # a node with one child holds no new pair
-            nodes = nodes.where(F.substring("lowest", 1, depth + 1) != F.substring("highest", 1, depth + 1))
+            nodes = nodes.where("first <> last")
         met = places.join(nodes.select("tree", "prefix", "size"), ["tree", "prefix"]).select("tree", "prefix", "k", "size").join(one, "k")
-        dealt = block_pairs(met, F.col("size"), BLOCK_ROWS, "k").repartition("tree", "prefix", "i", "j").sortWithinPartitions("tree", "prefix", "i", "j")
+        dealt = block_pairs(met, F.col("size"), NODE_ROWS, "k").repartition("tree", "prefix", "i", "j").sortWithinPartitions("tree", "prefix", "i", "j")
         levels.append(materialize(dealt.select("tree", "prefix", "i", "j", "side", "k", "sig").mapInArrow(tidied(_alike(similarity, depth)), ALIKE), "join-level"))
         for r in levels[-1].where("a IS NULL").groupBy("agreeing").agg(F.sum("n").alias("n")).collect():
             found[r["agreeing"]] = found.get(r["agreeing"], 0) + r["n"]

@@ -95,6 +95,7 @@ def near_copies(seed, families, each):
 def test_ngram_join_equals_brute_force(spark, awkward, awkward_rows, monkeypatch, block_rows):
     monkeypatch.setattr(ngram_join, "BLOCK_ROWS", block_rows)
     monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", 1000 * block_rows)
+    monkeypatch.setattr(ngram_join, "NODE_ROWS", 4 * block_rows)
     rows = [r for r in awkward_rows if r[0] is not None and r[0] != 9] + near_copies(3, 8, 12)
     docs = awkward.select("doc_id", "text").where("doc_id <> 9").union(spark.createDataFrame([r for r in rows if r[0] > 200], "doc_id long, text string"))
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
