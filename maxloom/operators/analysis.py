@@ -22,6 +22,17 @@ def bucket_examples(rows: DataFrame, group: str, count: int, *order) -> DataFram
     return rows.withColumn("example", ranked([group], *order)).where(F.col("example") <= count)
 
 
+def bucket_summary(rows: DataFrame, bucket: str, rank: str) -> DataFrame:
+    """Per bucket: queries, and mean and median of their ranks (queries without a rank count, but not in these)."""
+    return rows.groupBy(bucket).agg(F.count("*").alias("queries"), F.avg(rank).alias("mean_rank"), F.median(rank).alias("median_rank"))
+
+
+def bucket_frequencies(rows: DataFrame, bucket: str, values: str, most: int) -> DataFrame:
+    """The commonest values (an array column) of each bucket: bucket, value, n, place."""
+    counts = rows.select(bucket, F.explode(values).alias("value")).groupBy(bucket, "value").agg(F.count("*").alias("n"))
+    return counts.withColumn("place", ranked([bucket], F.desc("n"), "value")).where(F.col("place") <= most)
+
+
 def cue_counts(questions: DataFrame) -> DataFrame:
     return questions.groupBy(cue_type("question").alias("cue")).agg(F.count("*").alias("questions"))
 

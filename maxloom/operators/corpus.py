@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_folder
 from .ranking import doc_ranks
 
 
@@ -31,7 +30,7 @@ def numbered(items: DataFrame, *order) -> DataFrame:
     """
     context = items.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="maxloom-"))
+        context.setCheckpointDir(shared_folder(items.sparkSession))
     dealt = items.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()).checkpoint()
     sizes = dealt.groupBy("__p").agg(F.count("*").alias("__n"))
     before = sizes.select("__p", (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__before"))

@@ -53,6 +53,13 @@ def run_kpis(ranks: DataFrame, rank: str = "first_doc") -> DataFrame:
     return ranks.agg(F.count("*").alias("queries"), F.count(rank).alias("found"), F.count_if(F.col(rank) <= 4).alias("top4"), F.avg(rank).alias("mean_rank"), F.median(rank).alias("median_rank"))
 
 
+def ith_gold_pages(run: DataFrame, gold: DataFrame) -> DataFrame:
+    """Gold documents of each query by place (in order of id), each with its best page in a run, if it has one: qid, place, doc_id, page_idx."""
+    best = run.groupBy("qid", "doc_id").agg(F.min_by("page_idx", "rank").alias("page_idx"))
+    listed = gold.select("qid", "doc_id").distinct().withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy("doc_id")))
+    return listed.join(best, ["qid", "doc_id"], "left")
+
+
 def compare_runs(before: DataFrame, after: DataFrame, rank: str = "first_doc") -> DataFrame:
     """qid, before, after, movement, gain; queries of both runs."""
     both = before.select("qid", F.col(rank).alias("before")).join(after.select("qid", F.col(rank).alias("after")), "qid")

@@ -331,3 +331,10 @@ def moments(features: DataFrame, names: list[str]) -> DataFrame:
     """Mean and population deviation (at least 1e-3, as the root of a variance of 1e-6) of feature columns, a row per feature."""
     one = features.agg(*[F.struct(F.avg(n).alias("mean"), F.sqrt(F.greatest(F.var_pop(n), F.lit(1e-6))).alias("std")).alias(n) for n in names])
     return one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n)["mean"].alias("mean"), F.col(n)["std"].alias("std")) for n in names])).alias("m")).select("m.*")
+
+
+def selector_movement(baseline: DataFrame, learned: DataFrame) -> DataFrame:
+    """Pages whose winner recall a learned selector improves, worsens or leaves, with both mean recalls."""
+    both = baseline.select(*KEY, F.col("recall").alias("b")).join(learned.select(*KEY, F.col("recall").alias("l")), KEY)
+    movement = F.when(F.col("l") > F.col("b"), "improved").when(F.col("l") < F.col("b"), "worsened").otherwise("tied")
+    return both.groupBy(movement.alias("movement")).agg(F.count("*").alias("pages"), F.avg("b").alias("baseline"), F.avg("l").alias("learned"))

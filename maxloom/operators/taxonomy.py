@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Fixed values.
 QUESTION_TYPES = ["TextQ", "TableQ", "ImageQ", "ImageListQ", "Compose(TableQ,ImageListQ)", "Compose(TextQ,ImageListQ)", "Compose(ImageQ,TableQ)", "Compose(ImageQ,TextQ)", "Compose(TextQ,TableQ)", "Compose(TableQ,TextQ)", "Intersect(TableQ,TextQ)", "Intersect(ImageListQ,TableQ)", "Intersect(ImageListQ,TextQ)", "Compare(Compose(TableQ,ImageQ),TableQ)", "Compare(Compose(TableQ,ImageQ),Compose(TableQ,TextQ))", "Compare(TableQ,Compose(TableQ,TextQ))"]
@@ -35,3 +36,8 @@ def decomposed(question: str, qtype: str, hop: int = 0, bridge: str | list[str]
     """The prompt that names a hop and its bridge entities before the question."""
     bridge = bridge if isinstance(bridge, str) else "; ".join(bridge)
     return f" {separator} ".join([qtype, f"HOP={hop}", bridge, question])
+
+
+def hop_prompt(question: Column, qtype: Column, hop: Column, bridge: Column, separator: str = "[SEP]") -> Column:
+    """`decomposed` of columns; `bridge` is an array of entities."""
+    return F.concat_ws(f" {separator} ", qtype, F.concat(F.lit("HOP="), hop.cast("string")), F.array_join(bridge, "; "), question)

@@ -532,12 +532,6 @@ def answer_em_f1(f):
     return evaluation.answer_scores(a.select("qid", F.array(F.array_join("g", " ")).alias("answers")), a.where("qid % 5 <> 0").select("qid", F.array(F.array_join("p", " ")).alias("answers")))
 
 
-@query("SELECT CASE WHEN grouping(hop) = 0 THEN 'hop' WHEN grouping(first_modality) = 0 THEN 'first_modality' WHEN grouping(qtype) = 0 THEN 'qtype' ELSE 'all' END AS grouping, coalesce(hop, first_modality, qtype, '') AS value, count(*) AS queries, round(avg(em), 6) AS em, round(avg(f1), 6) AS f1 FROM (SELECT qid, qtype, hop, first_modality, CASE WHEN qid % 2 = 1 THEN 0.0 ELSE 1.0 END AS em, (qid % 7) / 7 AS f1 FROM qs JOIN dim USING (qtype)) GROUP BY GROUPING SETS ((), (hop), (first_modality), (qtype))")
-def score_by_type(f):
-    scored = f.questions.join(F.broadcast(taxonomy(f.spark)), "qtype").select("qid", "qtype", "hop", "first_modality", F.when(F.col("qid") % 2 == 1, 0.0).otherwise(1.0).alias("em"), ((F.col("qid") % 7) / 7).alias("f1"))
-    return rounded(evaluation.scores_by_group(scored, ["hop", "first_modality", "qtype"]), "em", "f1")
-
-
 @query("SELECT qtype, hop, first_modality, second_modality, count(*) AS questions FROM qs JOIN dim USING (qtype) GROUP BY ALL")
 def taxonomy_hops(f):
     return f.questions.join(F.broadcast(taxonomy(f.spark)), "qtype").groupBy("qtype", "hop", "first_modality", "second_modality").agg(F.count("*").alias("questions"))

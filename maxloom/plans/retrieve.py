@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import page_uid, query_keep, token_label
@@ -106,3 +106,13 @@ def closest_grid(width: int, height: int, most: int = 6, tile: int = 448) -> tup
     nearest = sorted((g for g in grids if gap[g] == min(gap.values())), key=lambda g: g[0] * g[1])
     filled = [g for g in nearest if width * height > tile * tile * g[0] * g[1] / 2]
     return filled[-1] if filled else nearest[0]
+
+
+def closest_grid_of(width: Column, height: Column, most: int = 6, tile: int = 448) -> Column:
+    """`closest_grid` of columns: a struct of area, i (columns) and j (rows)."""
+    grids = F.array(*[F.struct(F.lit(i * j).alias("area"), F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(1, most + 1) for j in range(1, most // i + 1)])
+    gap = lambda g: F.abs(width / height - g["i"] / g["j"])
+    least = F.array_min(F.transform(grids, gap))
+    nearest = F.filter(grids, lambda g: gap(g) == least)
+    filled = F.filter(nearest, lambda g: width * height > g["area"] * (tile * tile) / 2)
+    return F.when(F.size(filled) > 0, F.array_max(filled)).otherwise(F.array_min(nearest))

@@ -10,6 +10,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import page_uid
 
@@ -93,7 +94,8 @@ def labelled_runs(spark: SparkSession, specs: Sequence[str]) -> DataFrame:
 
 def audits(spark: SparkSession, path: str, schema: str = "qid STRING, question STRING, reliability_checklist STRUCT<gold_visual_rank: INT, verdict: STRING>") -> DataFrame:
     text = spark.read.option("wholetext", True).text(path)
-    return text.select(F.explode(F.from_json("value", f"audits ARRAY<STRUCT<{schema.replace(' STRING', ': STRING').replace(' STRUCT', ': STRUCT')}>>")["audits"]).alias("a")).select("a.*")
+    listed = T.StructType([T.StructField("audits", T.ArrayType(T.StructType.fromDDL(schema)))])
+    return text.select(F.explode(F.from_json("value", listed)["audits"]).alias("a")).select("a.*")
 
 
 def id_list(spark: SparkSession, path: str, key: str = "doc_ids") -> DataFrame:

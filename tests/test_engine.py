@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from maxloom.functions import columns as C
 from maxloom.operators import analysis, channels, corpus, evaluation, labels, models, pruning, ranking, retrieval, routing, taxonomy
-from maxloom.plans.catalogue import ORACLE_SQL, QUERIES
+from maxloom.plans.files_catalogue import ORACLE_SQL, QUERIES
 from maxloom.sources import readers
 from maxloom.streaming import runs
 
