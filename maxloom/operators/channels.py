@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
+
 KEY = ["qid", "doc_id", "page_idx"]
 
 
@@ -42,7 +44,8 @@ def anchors(scores: DataFrame) -> DataFrame:
 
 def page_features(scores: DataFrame, radius: int = 1, fallback_weight: float = 0.0, all_query: bool = False, all_non_visual: bool = False, balance: str = "min_avg") -> DataFrame:
     """All channel features of each (query, page), from the token score table."""
-    live = scores.where("active")
+    # Many aggregates read the score table: it is computed once.
+    live = stored(scores.where("active").select(*KEY, "q_idx", "qclass", "active", "token_idx", "patch_idx", "side", "pclass", "s"), "scores")
     non_visual_patch = (F.col("pclass") != "visual") & F.col("patch_idx").isNotNull() if all_non_visual else F.col("pclass") == "non_visual"
     visual_query = F.lit(True) if all_query else F.col("qclass") == "visual"
     peak = lambda c: F.max(F.when(c, F.col("s")))
@@ -59,7 +62,7 @@ def page_features(scores: DataFrame, radius: int = 1, fallback_weight: float = 0
         F.max("vp").alias("visual_patches"), F.max("np").alias("non_visual_patches"), F.max("side").alias("side"),
         F.count_if(is_v & (F.col("top.pclass") == "visual")).alias("visual_aligned"), F.count_if(is_n & (F.col("top.pclass") == "non_visual")).alias("non_visual_aligned"),
     )
-    anchor = anchors(scores)
+    anchor = stored(anchors(live), "anchors")
     # Context: tokens near an anchor; per anchor, then over any of them.
     near = live.where("patch_idx IS NOT NULL").join(anchor, KEY).where(within("patch_idx", "anchor", "side", radius))
     around = near.groupBy(*KEY, "anchor", "anchor_score", "q_idx").agg(F.max("s").alias("m")).groupBy(*KEY, "anchor", "anchor_score").agg(F.sum("m").alias("context"))

@@ -219,11 +219,37 @@ def cluster_tokens(pages: DataFrame, centroids: int, sample: int = 20_000, round
 
 
 def probe(index: DataFrame, centroids: np.ndarray, queries: DataFrame, nprobe: int, page_columns: list[str] = (), query_columns: list[str] = ("active",)) -> DataFrame:
-    """Score rows of the page tokens in each query token's `nprobe` best clusters; with all clusters it is the full score table."""
-    scores = token_scores(index, queries, [*page_columns, "centroid"], list(query_columns))
-    chosen = []
-    for block in _query_blocks(queries, ["qid", "q_idx"]):
-        near = np.argsort(-(_matrix(block.column("emb").combine_chunks()) @ centroids.T), axis=1, kind="stable")[:, :nprobe]
-        chosen += [(q, i, int(c)) for q, i, row in zip(block.column("qid").to_pylist(), block.column("q_idx").to_pylist(), near, strict=True) for c in row]
-    table = queries.sparkSession.createDataFrame(chosen, ", ".join([*_schema(queries, ["qid", "q_idx"]), "centroid int"]))
-    return scores.join(table, ["qid", "q_idx", "centroid"], "left_semi")
+    """Score rows of the page tokens in each query token's `nprobe` best clusters; with all clusters it is the full score table.
+
+    A cluster's tokens are multiplied with the query tokens that probe it alone, and clusters that none probes are not read
+    (a folder each in a written index).
+    """
+    own, theirs = [*PAGE, "token_idx", *page_columns, "centroid"], ["qid", "q_idx", *query_columns]
+    schema = ", ".join([*_schema(queries, theirs), *_schema(index, own), "s double"])
+
+    def kernel(block: pa.Table, probing: dict[int, np.ndarray]):
+        held = [block.column(c).combine_chunks() for c in theirs]
+        vectors = _matrix(block.column("emb").combine_chunks())
+
+        def run(batches):
+            for batch in batches:
+                cluster = batch.column(len(own) - 1).to_numpy()
+                for c in np.unique(cluster):
+                    tokens, rows = probing.get(int(c), ()), np.flatnonzero(cluster == c)
+                    for at in range(0, len(rows), step := max(1, OUT_ROWS // max(1, len(tokens)))):
+                        if not len(tokens):
+                            break
+                        some = rows[at : at + step]
+                        s = _matrix(batch.column(len(own)).take(pa.array(some))) @ vectors[tokens].T
+                        left, right = pa.array(np.tile(tokens, len(some))), pa.array(np.repeat(some, len(tokens)))
+                        yield pa.RecordBatch.from_arrays([*(h.take(left) for h in held), *(batch.column(i).take(right) for i in range(len(own))), pa.array(s.ravel())], [*theirs, *own, "s"])
+
+        return run
+
+    parts = []
+    for block in _query_blocks(queries, theirs):
+        if block.num_rows:
+            near = np.argsort(-(_matrix(block.column("emb").combine_chunks()) @ centroids.T), axis=1, kind="stable")[:, :nprobe]
+            probing = {int(c): np.flatnonzero((near == c).any(1)) for c in np.unique(near)}
+            parts.append(index.where(F.col("centroid").isin(*probing)).select(*own, "emb").mapInArrow(kernel(block, probing), schema))
+    return reduce(DataFrame.unionByName, parts) if parts else queries.sparkSession.createDataFrame([], schema)

@@ -11,6 +11,7 @@ from ..functions import columns as C
 from ..operators import analysis, channels, corpus, evaluation, pruning, ranking, retrieval, routing
 from ..operators.taxonomy import taxonomy
 from ..sources.fixtures import Fixture
+from ..sources.shared import stored
 from .prelude import oracle
 from .retrieve import RerankConfig, RetrievalConfig, explanations as explain, inspect_pages as inspect, rerank, retrieve
 
@@ -438,7 +439,8 @@ def run_kpis(f):
 
 
 def _both(f):
-    return evaluation.first_gold_ranks(f.run_baseline, f.gold), evaluation.first_gold_ranks(f.run_exact, f.gold)
+    """Both runs' gold ranks, each computed once."""
+    return tuple(stored(evaluation.first_gold_ranks(run, f.gold), "ranks") for run in (f.run_baseline, f.run_exact))
 
 
 _CMP = "SELECT qid, b.first_doc AS before, e.first_doc AS after, CASE WHEN b.first_doc IS NULL AND e.first_doc IS NULL THEN 'missing_in_both' WHEN b.first_doc IS NULL THEN 'newly_found' WHEN e.first_doc IS NULL THEN 'newly_lost' WHEN e.first_doc < b.first_doc THEN 'improved' WHEN e.first_doc > b.first_doc THEN 'worsened' ELSE 'unchanged' END AS movement, b.first_doc - e.first_doc AS gain FROM fg_b b JOIN fg_e e USING (qid)"

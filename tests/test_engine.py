@@ -294,3 +294,23 @@ def test_whole_plans(spark, small):
 def test_small_column_functions(spark):
     rows = spark.createDataFrame([("1,200 cats 3.5 0 x -7 1e2",)], "t string").select(C.numbers_in("t"), C.safe_name(F.lit("a b/c?.png")), C.run_mode(F.lit("Exact_run")), C.run_token_filter(F.lit("x_drop_pad")), C.run_qid(F.lit("out/qid_ab12"))).first()
     assert list(rows) == [[1200.0, 3.5, -7.0, 100.0], "a_b_c_.png", "exact", "drop_pad_like", "ab12"]
+
+
+def test_probe_scores_only_what_is_probed(spark):
+    from maxloom.operators import retrieval
+    from maxloom.sources.fixtures import Fixture
+
+    f = Fixture(spark, SF)
+    index, centroids = retrieval.cluster_tokens(f.pages, 6)
+    got = {(r["qid"], r["q_idx"], r["doc_id"], r["page_idx"], r["token_idx"]): (r["centroid"], round(r["s"], 9)) for r in retrieval.probe(index, centroids, f.queries, 2).collect()}
+    near = {}
+    for q in f.queries.collect():
+        order = sorted(range(6), key=lambda c: (-sum(a * b for a, b in zip(q["emb"], centroids[c])), c))
+        near[q["qid"], q["q_idx"]] = (set(order[:2]), q["emb"])
+    want = {}
+    for t in index.collect():
+        for (qid, i), (chosen, emb) in near.items():
+            if t["centroid"] in chosen:
+                want[qid, i, t["doc_id"], t["page_idx"], t["token_idx"]] = (t["centroid"], round(sum(a * b for a, b in zip(emb, t["emb"])), 9))
+    assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-8 for k in want)
+    assert 0 < len(got) < f.queries.count() * f.pages.count()
