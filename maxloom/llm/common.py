@@ -149,6 +149,11 @@ def word_spans(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 def shingle_hashes(flat: np.ndarray, offsets: np.ndarray, words: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of each row's word n-grams and the row offsets in them; a row of fewer words has one shingle of all its words."""
     h, _, _, at = word_spans(flat, offsets)
+    return shingles_of(h, at, words)
+
+
+def shingles_of(h: np.ndarray, at: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same from the hashes of the rows' words."""
     counts = np.diff(at)
     grams = np.where(counts == 0, 0, np.maximum(counts - words + 1, 1))
     out_at = np.concatenate([[0], np.cumsum(grams)])

@@ -1,7 +1,7 @@
 """Quality classifier: histogram gradient-boosted trees over document statistics.
 
-Statistics of a whole text (byte classes, words, lines, repetition) come from numpy passes over Arrow batches. Trees are grown
-on quantile bins, to a fixed depth, and flattened into arrays, so a batch walks all trees with vector steps.
+Statistics of a whole text (byte classes, words, lines, repetition) come from numpy passes over Arrow batches; a text of over
+PASS_BYTES is read piece by piece to the same statistics. Trees are grown on quantile bins, to a fixed depth, and flattened into arrays, so a batch walks all trees with vector steps.
 
 Labels are read only from rows that `held_out` excludes, at most TRAIN_ROWS of them, those of least hash of the id; only their
 statistics reach the driver. Scoring covers every text in full. Null text is empty; an empty text has all-zero statistics and is
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, mix64, row_sets, shingle_hashes, text_bytes, tidied, tidy, word_spans
+from .common import byte_slices, mix64, row_sets, shingle_hashes, shingles_of, text_bytes, tidied, tidy, word_spans
 
 TRAIN_ROWS = 20_000
 TREES = 120
@@ -47,10 +47,94 @@ def _per_row(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return total[at[1:]] - total[at[:-1]]
 
 
-def statistics(texts: pa.Array) -> np.ndarray:
-    """One row of statistics per text."""
+def _cuts(flat: np.ndarray, most: int) -> list[int]:
+    """Ends of pieces of about `most` bytes, each after a byte that is in no word (or wherever, in a word of that length)."""
+    out, start = [], 0
+    while len(flat) - start > most:
+        gaps = np.flatnonzero((_CLASS[flat[start : start + most]] >= 4) & (_CLASS[flat[start : start + most]] <= 10))
+        start += int(gaps[-1]) + 1 if len(gaps) else most
+        out.append(start)
+    return [*out, len(flat)]
+
+
+def long_statistics(flat: np.ndarray, most: int) -> np.ndarray:
+    """The statistics of one text, a piece at a time: sums are added up, lines go on from piece to piece, and of words and 3-grams only distinct hashes are held."""
+    counts = np.zeros(CLASSES)
+    marks = twins = words = short = far = capitals = trailed = total = square = grams = 0.0
+    word_sets, gram_sets, line_keys = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
+    tail = np.empty(0, np.uint64)
+    # Of the line that goes on: bytes, marks, capitals, bars, key. Of all ended ones: how many, worst shares, bytes in bad ones.
+    held, held_key = np.zeros(4), np.uint64(0)
+    lines, worst, bad = 0, np.zeros(3), np.zeros(2)
+
+    def ended(parts: np.ndarray, keys: np.ndarray) -> None:
+        nonlocal lines
+        if len(keys):
+            share = parts[:, 1:] / parts[:, :1]
+            lines += len(keys)
+            np.maximum(worst, share.max(0), out=worst)
+            bad[0] += parts[share[:, 0] > 0.12, 0].sum()
+            bad[1] += parts[share[:, 1] > 0.3, 0].sum()
+            line_keys.append(np.unique(keys))
+
+    start = 0
+    for stop in _cuts(flat, most):
+        part = flat[start:stop]
+        kind = _CLASS[part]
+        counts += np.bincount(kind, minlength=CLASSES)
+        mark = (kind >= 6) & (kind <= 10)
+        marks += mark.sum()
+        twins += (part[1:] == part[:-1]).sum() + (start > 0 and flat[start - 1] == part[0])
+        h, at, length, _ = word_spans(_LOWER[part], np.array([0, len(part)]))
+        if len(h):
+            words += len(h)
+            total += length.sum()
+            square += (length.astype(float) ** 2).sum()
+            short += (length <= 3).sum()
+            far += (length >= 12).sum()
+            capitals += ((part[at] >= 0x41) & (part[at] <= 0x5A)).sum()
+            after = np.minimum(start + at + length, len(flat) - 1)
+            trailed += ((_CLASS[flat[after]] >= 6) & (_CLASS[flat[after]] <= 10) & (flat[after] != 0x2E) & (flat[after] != 0x2C)).sum()
+            word_sets.append(np.unique(h))
+            run = np.concatenate([tail, h])
+            if len(run) >= 3:
+                new, _ = shingles_of(run, np.array([0, len(run)]), 3)
+                grams += len(new)
+                gram_sets.append(np.unique(new))
+            tail = run[-2:]
+        head = np.concatenate([[0], np.flatnonzero(kind[:-1] == 5) + 1])
+        size = np.diff(np.append(head, len(part)))
+        place = np.arange(len(part)) - np.repeat(head, size)
+        place[: size[0]] += int(held[0])
+        keys = np.add.reduceat(mix64((place.astype(np.uint64) << np.uint64(8)) | part), head)
+        parts = np.stack([size, *[np.add.reduceat(x.astype(np.int64), head) for x in (mark, kind == 2, kind == 9)]], 1).astype(float)
+        parts[0] += held
+        keys[:1] += held_key
+        held, held_key = np.zeros(4), np.uint64(0)
+        if kind[-1] != 5:
+            held, held_key = parts[-1], keys[-1]
+            parts, keys = parts[:-1], keys[:-1]
+        ended(parts, keys)
+        start = stop
+    if held[0]:
+        ended(held[None, :], np.array([held_key], np.uint64))
+    size, some = float(len(flat)), max(words, 1)
+    if 0 < words < 3:
+        grams, gram_sets = 1.0, [shingles_of(tail, np.array([0, len(tail)]), 3)[0]]
+    distinct = [len(np.unique(np.concatenate(x))) for x in (word_sets, gram_sets, line_keys)]
+    mean = total / some
+    out = [np.log1p(size), np.log1p(words), *(counts / max(size, 1)), marks / max(size, 1), twins / max(size, 1), mean, np.sqrt(max(square / some - mean**2, 0))]
+    out += [short / some, far / some, capitals / some, trailed / some, distinct[0] / some, distinct[1] / max(grams, 1)]
+    per = max(lines, 1)
+    return np.nan_to_num(np.array([*out, np.log1p(lines), *worst, *(bad / max(size, 1)), distinct[2] / per, size / per]))[None, :]
+
+
+def statistics(texts: pa.Array, most: int = PASS_BYTES) -> np.ndarray:
+    """One row of statistics per text; a text of over `most` bytes that stands alone is read in pieces."""
     flat, at = text_bytes(texts)
     n = len(at) - 1
+    if n == 1 and len(flat) > most:
+        return long_statistics(flat, most)
     size = np.diff(at).astype(float)
     row = np.repeat(np.arange(n), np.diff(at))
     kind = _CLASS[flat]

@@ -248,6 +248,53 @@ def test_classifiers_do_not_read_held_out_labels(learnable):
         assert sorted(map(tuple, operator(docs, labels).collect())) == sorted(map(tuple, operator(docs, flipped).collect()))
 
 
+def plain_statistics(text):
+    """The statistics of one text in plain Python, by name."""
+    data = text.encode()
+    words = re.findall(rb"[a-z0-9\x80-\xff]+", data.lower())
+    starts = [m.start() for m in re.finditer(rb"[A-Za-z0-9\x80-\xff]+", data)]
+    lines = re.findall(rb"[^\n\r]*[\n\r]|[^\n\r]+$", data)
+    grams = [tuple(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+    n, w = max(len(data), 1), max(len(words), 1)
+    mark = lambda b: 33 <= b < 127 and not chr(b).isalnum()
+    share = lambda f: max(sum(map(f, x)) / len(x) for x in lines) if lines else 0.0
+    lengths = np.array([len(x) for x in words] or [0])
+    return {
+        0: np.log1p(len(data)), 1: np.log1p(len(words)), 2 + 1: sum(97 <= b < 123 for b in data) / n, 2 + 2: sum(65 <= b < 91 for b in data) / n,
+        15: sum(map(mark, data)) / n, 16: sum(a == b for a, b in zip(data, data[1:])) / n, 17: lengths.mean(), 18: lengths.std(),
+        19: sum(len(x) <= 3 for x in words) / w, 21: sum(65 <= data[i] < 91 for i in starts) / w, 23: len(set(words)) / w, 24: len(set(grams)) / max(len(grams), 1),
+        25: np.log1p(len(lines)), 26: share(mark), 27: share(lambda b: 65 <= b < 91), 31: len(set(lines)) / max(len(lines), 1), 32: len(data) / max(len(lines), 1),
+    }
+
+
+def test_statistics_equal_plain_python_whole_and_in_pieces():
+    rng = random.Random(15)
+    texts = ["", "a", "one two", "\n\n\n", "ab\r\ncd\n", "x" * 500, "!!! ??", "é ß\nÉ É"]
+    for _ in range(60):
+        lines = [prose(rng, rng.randrange(0, 30)) for _ in range(rng.randrange(1, 12))]
+        text = rng.choice(["\n", " ", "\n\n"]).join(rng.choice(lines) for _ in range(rng.randrange(1, 25)))
+        texts.append("".join(c.upper() if rng.random() < 0.1 else c for c in text) + rng.choice(["", "!", "\n", " "]))
+    together = quality.statistics(pa.array(texts))
+    for text, row in zip(texts, together, strict=True):
+        for k, v in plain_statistics(text).items():
+            assert abs(row[k] - v) < 1e-9, (text, k)
+        for most in (64, 300):
+            pieces = quality.statistics(pa.array([text]), most)[0]
+            if max(map(len, re.findall(rb"[A-Za-z0-9\x80-\xff]+", text.encode())), default=0) < most:  # longer words are cut
+                assert np.allclose(pieces, row, atol=1e-9), (text, np.flatnonzero(abs(pieces - row) > 1e-9))
+
+
+def test_statistics_of_a_very_long_text_take_bounded_memory():
+    import resource
+
+    words = prose(random.Random(1), 200_000)
+    text = pa.array([" \n".join([words] * 30)])  # some 50 MB
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    row = quality.statistics(text)
+    taken = (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024
+    assert taken < 12 * text.nbytes / (1 << 20) and np.isfinite(row).all()
+
+
 def test_trees_equal_a_walk_of_each_row():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(400, 5))
