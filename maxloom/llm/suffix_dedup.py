@@ -10,8 +10,8 @@ anchor (see `anchors`), so equal strings meet under one anchor; starts in a row
 4. Under an anchor with more than HOT different windows nothing is gathered: windows are cut into slices of a few starts, slices
    are told apart by the bytes that all their strings share, and starts of slices that are still tied are counted string by string.
 
-Strings are compared as bytes within shards and by 64-bit (with the anchor: 128-bit) fingerprints between equal windows. Null
-text is empty. Rows with a null id are left out; rows of a repeated id are told apart by their text's hash, and strings of a
+Strings are compared as bytes within shards, and by 128-bit fingerprints (64 of them with the anchor, or with the bytes that a
+slice shares) between equal windows, slices and single strings. Null text is empty. Rows with a null id are left out; rows of a repeated id are told apart by their text's hash, and strings of a
 row that is repeated as a whole occur more than once; extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -164,7 +164,7 @@ def _hash(letters: np.ndarray) -> int:
 
 
 def _singles(span: int):
-    """(doc_id, h, text, windows) to a row per start, with the fingerprint of its string."""
+    """(doc_id, h, text, windows) to a row per start, with its slice's key and the fingerprint of its string."""
 
     def run(batches):
         for batch in batches:
@@ -173,7 +173,7 @@ def _singles(span: int):
                 lists = part.column(3)
                 owner = np.repeat(np.arange(len(part)), lists.value_lengths().fill_null(0).to_numpy())
                 windows = lists.flatten()
-                start, count = windows.field("start").to_numpy(), windows.field("count").to_numpy()
+                start, count, key = (windows.field(c).to_numpy() for c in ("start", "count", "key"))
                 rows, starts, prints = [], [], []
                 for o, s, c in zip(owner, start, count, strict=True):
                     letters = _LETTER[flat[at[o] + s : at[o] + s + c + span - 1]]
@@ -181,7 +181,7 @@ def _singles(span: int):
                     starts += range(int(s), int(s + c))
                     prints.append(mix64(_rolled(letters, span)))
                 own = part.select([0, 1]).take(pa.array(rows, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(starts, pa.int32()), _as_long(np.concatenate(prints) if prints else np.empty(0, np.uint64))], ["doc_id", "h", "start", "print"])
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(starts, pa.int32()), pa.array(np.repeat(key, count), pa.int64()), _as_long(np.concatenate(prints) if prints else np.empty(0, np.uint64))], ["doc_id", "h", "start", "key", "print"])
 
     return run
 
@@ -230,10 +230,11 @@ def _hot_stretches(texts: DataFrame, windows: DataFrame, span: int) -> DataFrame
     tied = materialize(same.groupBy("key").agg(F.count("*").alias("texts")).where("texts > 1"), "repeat-slice-ties")
     whole = cut.join(same.where("n > 1 OR again"), ["key", "content"]).where("once").select("doc_id", "h", "start", "count")
     # One row of each text that is tied: all rows of once-windows, and a row of the others, which stand for strings that occur elsewhere.
-    rest = materialize(cut.join(tied.select("key"), "key").select("doc_id", "h", "start", "count"), "repeat-tied")
-    single = materialize(texts.join(_listed(rest, ["start", "count"]), ["doc_id", "h"]).mapInArrow(tidied(_singles(span)), "doc_id long, h long, start int, print long"), "repeat-singles")
-    again = materialize(single.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print"), "repeat-prints")
-    return whole.unionByName(single.join(again, "print").select("doc_id", "h", "start", F.lit(1).alias("count")))
+    rest = materialize(cut.join(tied.select("key"), "key").select("doc_id", "h", "start", "count", "key"), "repeat-tied")
+    single = materialize(texts.join(_listed(rest, ["start", "count", "key"]), ["doc_id", "h"]).mapInArrow(tidied(_singles(span)), "doc_id long, h long, start int, key long, print long"), "repeat-singles")
+    # Equal strings are in slices of one key (of their anchor, place and shared bytes): key and print are 128 bits.
+    again = materialize(single.groupBy("key", "print").agg(F.count("*").alias("n")).where("n > 1").select("key", "print"), "repeat-prints")
+    return whole.unionByName(single.join(again, ["key", "print"]).select("doc_id", "h", "start", F.lit(1).alias("count")))
 
 
 def suffix_dedup(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, shard_bytes: int = SHARD_BYTES, queue_bytes: int = QUEUE_BYTES) -> DataFrame:
