@@ -120,25 +120,25 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     text = F.col(text_col)
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.octet_length(F.coalesce(text, F.lit(""))).alias("raw_bytes"), normalised(text).alias("norm"))
-    prints = materialize(_printed(texts, huge), "dedup-prints")
-    row = ["doc_id", "sha"]  # rows of a repeated id are told apart by their text
+    prints = materialize(_printed(texts, huge), "dedup-prints").withColumn("h", F.xxhash64("sha"))
+    row = ["doc_id", "h"]  # rows of a repeated id are told apart by their text
     groups = prints.groupBy("print", "n_bytes").agg(F.count("*").alias("size"), F.min(F.struct(*row)).alias("rep"))
-    groups = materialize(groups.where("size > 1").select("print", "n_bytes", F.col("rep.doc_id").alias("rep"), F.col("rep.sha").alias("rep_sha")), "dedup-groups")
-    members = materialize(prints.join(groups, ["print", "n_bytes"]).select(*row, "rep", "rep_sha"), "dedup-members")
-    # Chunkwise comparison with the group's first row.
-    pairs = members.where("doc_id <> rep OR sha <> rep_sha").distinct()
-    named = texts.select("doc_id", F.unhex(F.sha2(F.col("norm").cast("binary"), 256)).alias("sha"), "norm")
-    wanted = materialize(named.join(members.select(*row).distinct(), row, "left_semi"), "dedup-texts")
-    theirs = _chunks(wanted.join(pairs, row), [*row, "rep", "rep_sha"])
-    reps = groups.select(F.col("rep").alias("doc_id"), F.col("rep_sha").alias("sha")).distinct()
-    firsts = _chunks(wanted.join(reps, row, "left_semi").select(F.col("doc_id").alias("rep"), F.col("sha").alias("rep_sha"), "norm"), ["rep", "rep_sha"])
-    firsts = firsts.groupBy("rep", "rep_sha", "chunk").agg(F.first("part").alias("first"))
-    same = theirs.join(firsts, ["rep", "rep_sha", "chunk"]).groupBy(*row).agg(F.min(F.col("part") == F.col("first")).alias("same"))
+    groups = materialize(groups.where("size > 1").select("print", "n_bytes", F.col("rep.doc_id").alias("rep"), F.col("rep.h").alias("rep_h")), "dedup-groups")
+    members = materialize(prints.join(groups, ["print", "n_bytes"]).select(*row, "sha", "rep", "rep_h"), "dedup-members")
+    # Chunkwise comparison with the group's first row. Texts meet ids by merging, at any size: their tables grow with the input.
+    pairs = members.where("doc_id <> rep OR h <> rep_h").select(*row, "rep", "rep_h").distinct()
+    near = texts.select("doc_id", "norm").join(members.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
+    near = materialize(near.select("doc_id", F.xxhash64(F.unhex(F.sha2(F.col("norm").cast("binary"), 256))).alias("h"), "norm"), "dedup-texts")
+    theirs = _chunks(near.join(pairs.hint("merge"), row), [*row, "rep", "rep_h"])
+    reps = groups.select(F.col("rep").alias("doc_id"), F.col("rep_h").alias("h")).distinct()
+    firsts = _chunks(near.join(reps.hint("merge"), row, "left_semi").select(F.col("doc_id").alias("rep"), F.col("h").alias("rep_h"), "norm"), ["rep", "rep_h"])
+    firsts = firsts.groupBy("rep", "rep_h", "chunk").agg(F.first("part").alias("first"))
+    same = theirs.join(firsts.hint("merge"), ["rep", "rep_h", "chunk"]).groupBy(*row).agg(F.min(F.col("part") == F.col("first")).alias("same"))
     same = materialize(same, "dedup-same")
     nothing = F.lit(b"")
-    judged = members.join(same, row, "left").select(*row, "rep", "rep_sha", F.when(F.coalesce("same", F.lit(True)), nothing).otherwise(F.col("sha")).alias("other"))
+    judged = members.join(same, row, "left").select(*row, "rep", "rep_h", F.when(F.coalesce("same", F.lit(True)), nothing).otherwise(F.col("sha")).alias("other"))
     judged = materialize(judged, "dedup-judged")
-    final = materialize(judged.groupBy("rep", "rep_sha", "other").agg(F.count("*").alias("group_size"), F.min("doc_id").alias("keep_id")), "dedup-final")
-    grouped = materialize(judged.join(final, ["rep", "rep_sha", "other"]).select(*row, "keep_id", "group_size").distinct(), "dedup-grouped")
+    final = materialize(judged.groupBy("rep", "rep_h", "other").agg(F.count("*").alias("group_size"), F.min("doc_id").alias("keep_id")), "dedup-final")
+    grouped = materialize(judged.join(final, ["rep", "rep_h", "other"]).select(*row, "keep_id", "group_size").distinct(), "dedup-grouped")
     out = prints.join(grouped, row, "left")
     return out.select("doc_id", F.coalesce("keep_id", "doc_id").alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), (F.coalesce("keep_id", "doc_id") == F.col("doc_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
