@@ -242,10 +242,11 @@ def suffix_dedup(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     listed = materialize(texts.where(F.octet_length("text") >= span).mapInArrow(tidied(_list_runs(span)), _RUNS), "repeat-runs")
     anchors = materialize(listed.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "repeat-anchors")
-    listed = materialize(listed.join(anchors.hint("merge"), "anchor"), "repeat-candidates")
+    candidates = listed.join(anchors.hint("merge"), "anchor")
     first = F.min(F.struct("doc_id", "h", "start", "count", "place")).alias("first")
-    windows = materialize(listed.groupBy("anchor", "content").agg(F.count("*").alias("n"), first), "repeat-windows")
+    windows = materialize(candidates.groupBy("anchor", "content").agg(F.count("*").alias("n"), first), "repeat-windows")
     shared = materialize(windows.groupBy("anchor").agg(F.count("*").alias("texts")).where("texts > 1"), "repeat-shared")
+    # From the runs as texts gave them: a window that is everywhere comes from all of their files, so the runtime can split it.
     whole = listed.join(windows.where("n > 1").select("anchor", "content").hint("merge"), ["anchor", "content"]).select("doc_id", "h", "start", "count")
     todo = windows.join(shared.hint("merge"), "anchor").select("anchor", (F.col("n") == 1).alias("once"), "first.*", (F.col("texts") > hot).alias("hot"))
     todo = materialize(todo, "repeat-todo")
