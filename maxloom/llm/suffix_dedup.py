@@ -3,8 +3,8 @@
 A byte goes if a string of SPAN bytes that covers it also starts anywhere else. Every such string is assigned a content-chosen
 anchor (see `anchors`), so equal strings meet under one anchor; starts in a row with one anchor make a window of text.
 
-1. Runs of all texts are listed; anchors that occur once are dropped.
-2. Windows of equal content are counted. Those that occur again are repeated as a whole.
+1. Runs of all texts are listed.
+2. Windows of equal content are counted. Those that occur again are repeated as a whole; one that is alone under its anchor is done.
 3. Windows that occur once under an anchor with other windows go, with their texts, to shards by anchor. Each shard's suffix
    array tells which of their starts have an equal string elsewhere. Sorting queues go to disk beyond a bound.
 4. Under an anchor with more than HOT different windows nothing is gathered: windows are cut into slices of a few starts, slices
@@ -241,10 +241,8 @@ def suffix_dedup(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     listed = materialize(texts.where(F.octet_length("text") >= span).mapInArrow(tidied(_list_runs(span)), _RUNS), "repeat-runs")
-    anchors = materialize(listed.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "repeat-anchors")
-    candidates = listed.join(anchors.hint("merge"), "anchor")
     first = F.min(F.struct("doc_id", "h", "start", "count", "place")).alias("first")
-    windows = materialize(candidates.groupBy("anchor", "content").agg(F.count("*").alias("n"), first), "repeat-windows")
+    windows = materialize(listed.groupBy("anchor", "content").agg(F.count("*").alias("n"), first), "repeat-windows")
     shared = materialize(windows.groupBy("anchor").agg(F.count("*").alias("texts")).where("texts > 1"), "repeat-shared")
     # From the runs as texts gave them: a window that is everywhere comes from all of their files, so the runtime can split it.
     whole = listed.join(windows.where("n > 1").select("anchor", "content").hint("merge"), ["anchor", "content"]).select("doc_id", "h", "start", "count")
