@@ -67,15 +67,16 @@ def schedule_sql(slots: list[int]) -> str:
 def _numbered(rows: DataFrame, order: str, n_rows: int) -> DataFrame:
     """`rows` with __index, the place of each among those of its __s in order of the long column `order`, and __size, how many there are."""
     bits = max(8, (n_rows // BUCKET_ROWS).bit_length())
-    rows = rows.withColumn("__bucket", F.shiftrightunsigned(F.col(order), 64 - bits))
-    sizes = rows.groupBy(F.col("__s").alias("__t"), F.col("__bucket").alias("__b")).agg(F.count("*").alias("__n"))
-    every = Window.partitionBy("__t")
-    sizes = sizes.select("__t", "__b", (F.sum("__n").over(every.orderBy("__b")) - F.col("__n")).alias("__before"), F.sum("__n").over(every).alias("__size"))
+    # A key that is never null, so that numbering and joining share one partitioning.
+    rows = rows.withColumn("__k", F.coalesce(F.concat(F.lit("="), "__s"), F.lit(""))).withColumn("__bucket", F.shiftrightunsigned(F.col(order), 64 - bits))
+    key = ["__k", "__bucket"]
+    sizes = rows.groupBy(*key).agg(F.count("*").alias("__n"))
+    every = Window.partitionBy("__k")
+    sizes = sizes.select(*key, (F.sum("__n").over(every.orderBy("__bucket")) - F.col("__n")).alias("__before"), F.sum("__n").over(every).alias("__size"))
     # Unsigned, as buckets are: the sign bit is turned.
-    own = Window.partitionBy("__s", "__bucket").orderBy(F.col(order).bitwiseXOR(F.lit(-(2**63))), "__digest")
-    rows = rows.withColumn("__number", F.row_number().over(own) - 1)
-    rows = rows.join(sizes, F.col("__s").eqNullSafe(F.col("__t")) & (F.col("__bucket") == F.col("__b")))
-    return rows.withColumn("__index", F.col("__number") + F.col("__before")).drop("__t", "__b", "__n", "__number", "__before", "__bucket")
+    own = Window.partitionBy(*key).orderBy(F.col(order).bitwiseXOR(F.lit(-(2**63))), "__digest")
+    rows = rows.withColumn("__number", F.row_number().over(own) - 1).join(sizes, key)
+    return rows.withColumn("__index", F.col("__number") + F.col("__before")).drop(*key, "__number", "__before")
 
 
 def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, id_col: str = "doc_id", source_col: str = "source", block_docs: int = BLOCK_DOCS, period: int = PERIOD, seed: int = SEED, max_sources: int = MAX_SOURCES) -> DataFrame:
