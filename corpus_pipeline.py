@@ -36,14 +36,17 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     judged = exact_dedup(docs.select("doc_id", "text"))
     marked = judged.groupBy(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha")).agg(F.max("kept").alias("kept"), F.count("*").alias("rows"))
     marked = materialize(marked.where("NOT kept OR rows > 1"), "exact-marked")
-    by_row = (F.col("doc_id") == F.col("id")) & (F.sha2(normalised(F.col("text")).cast("binary"), 256) == F.col("sha"))
+    # Ids meet; digests are compared only where they do.
+    by_row = (F.col("doc_id") == F.col("id")) & ~(F.sha2(normalised(F.col("text")).cast("binary"), 256) != F.col("sha"))
     docs = docs.select(*COLUMNS)
-    single = docs.join(marked, by_row, "left_anti")
+    single = docs.join(marked.hint("merge"), by_row, "left_anti")
+    again = marked.where("kept")
+    if again.isEmpty():
+        return single
     # Rows repeated whole: one of them.
-    repeated = docs.join(marked.where("kept"), by_row, "left_semi")
     first = Window.partitionBy("doc_id", normalised(F.col("text"))).orderBy("lang", "source", "n_chars", "text")
-    repeated = repeated.withColumn("place", F.row_number().over(first)).where("place = 1").select(*COLUMNS)
-    return single.unionByName(repeated)
+    repeated = docs.join(again, by_row, "left_semi").withColumn("place", F.row_number().over(first)).where("place = 1")
+    return single.unionByName(repeated.select(*COLUMNS))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
