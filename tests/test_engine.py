@@ -24,7 +24,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def duck():
     c = duckdb.connect()
-    for t in ("embeddings", "benchmark", "pages"):
+    for t in ("embeddings", "benchmark", "pages", "customer", "orders", "part", "supplier"):
         c.execute(f"CREATE VIEW {t} AS FROM '{SF}/{t}.parquet'")
     return c
 
@@ -33,6 +33,8 @@ def rows_of(df: pd.DataFrame):
     def plain(v):
         if v is None or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
             return None
+        if isinstance(v, (list, np.ndarray)):
+            return tuple(map(plain, v))
         return round(float(v), 5) if isinstance(v, (float, np.floating)) else bool(v) if isinstance(v, (bool, np.bool_)) else int(v) if isinstance(v, (int, np.integer)) else v
 
     return sorted((tuple(map(plain, r)) for r in df[sorted(df.columns)].itertuples(index=False)), key=repr)
