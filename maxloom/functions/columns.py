@@ -194,3 +194,11 @@ def run_token_filter(name) -> Column:
 
 def run_qid(name) -> Column:
     return F.regexp_extract(col(name), r"(?:^|[_/])qid[_=]?([A-Za-z0-9]+)", 1)
+
+
+def float_list(text: str) -> list[float]:
+    """Numbers between commas, blanks left out; fails if there is none."""
+    out = [float(x) for x in text.split(",") if x.strip()]
+    if not out:
+        raise ValueError(f"no numbers in {text!r}")
+    return out

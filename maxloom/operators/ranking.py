@@ -27,6 +27,11 @@ class Weights:
     non_visual: float = 0.0
     balance: float = 0.0
 
+    @property
+    def base_only(self) -> bool:
+        """Whether no channel but the base score counts."""
+        return self.visual == self.non_visual == self.balance == 0
+
 
 def _tie(df: DataFrame) -> list:
     return ["pos"] if "pos" in df.columns else ["doc_id", "page_idx"]

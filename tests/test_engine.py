@@ -316,3 +316,11 @@ def test_probe_scores_only_what_is_probed(spark):
                 want[qid, i, t["doc_id"], t["page_idx"], t["token_idx"]] = (t["centroid"], round(sum(a * b for a, b in zip(emb, t["emb"])), 9))
     assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-8 for k in want)
     assert 0 < len(got) < f.queries.count() * f.pages.count()
+
+
+def test_float_lists_and_base_only_weights():
+    assert C.float_list("0.5, 1,,-2e1 ") == [0.5, 1.0, -20.0]
+    for bad in ("", " , ", "1,x"):
+        with pytest.raises(ValueError):
+            C.float_list(bad)
+    assert ranking.Weights().base_only and ranking.Weights(2.0).base_only and not ranking.Weights(1, 0, 0, 8).base_only
