@@ -6,7 +6,7 @@ where given, else document and page do.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from itertools import product
 
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import ranked, standardised
+from ..sources.shared import stored
 
 KEY = ["qid", "doc_id", "page_idx"]
 #: Where a missing rank must order last.
@@ -83,28 +84,33 @@ def scalar_ranking(features: DataFrame, attribute: str) -> DataFrame:
     return out.withColumn("rank", ranked(["qid"], F.desc_nulls_last(attribute), F.desc("base"), F.desc("uid"))).drop("uid")
 
 
-def refreshed(approx: DataFrame, exact: DataFrame, top_pages: int | None = None, top_docs: int | None = None) -> DataFrame:
-    """A cascade: approximate scores, replaced by exact ones in the leading pages, or in all pages of the leading documents."""
-    run = approx.withColumn("stage_rank", ranked(["qid"], F.desc("score"), "doc_id", "page_idx"))
+def refreshed(approx: DataFrame, exact: Callable[[DataFrame], DataFrame], top_pages: int | None = None, top_docs: int | None = None) -> DataFrame:
+    """A cascade: approximate scores, replaced by those that `exact` makes of the leading pages, or of all pages of the leading documents."""
+    run = stored(approx.select(*KEY, "score"), "approximate").withColumn("stage_rank", ranked(["qid"], F.desc("score"), "doc_id", "page_idx"))
     if top_docs is not None:
         docs = doc_ranks(run.withColumnRenamed("stage_rank", "rank")).where(F.col("doc_rank") <= top_docs).select("qid", "doc_id", F.lit(True).alias("lead"))
         run = run.join(docs, ["qid", "doc_id"], "left").withColumn("lead", F.coalesce("lead", F.lit(False)))
     else:
         run = run.withColumn("lead", F.col("stage_rank") <= top_pages)
-    leads = run.where("lead").select(*KEY)
-    exact = exact.select(*KEY, F.col("score").alias("exact_score")).join(leads, KEY, "left_semi")
-    out = run.join(exact, KEY, "left").withColumn("final", F.coalesce("exact_score", "score"))
+    best = exact(run.where("lead").select(*KEY)).select(*KEY, F.col("score").alias("exact_score"))
+    out = run.join(best, KEY, "left").withColumn("final", F.coalesce("exact_score", "score"))
     return out.withColumn("rank", ranked(["qid"], F.desc("final"), "stage_rank"))
 
 
-def prefilter_cascade(features: DataFrame, exact: DataFrame, base_top: int, prefilter_top: int, mode: str = "balance_then_visual") -> DataFrame:
-    """Base-best pages, of them the best by a prefilter, of them all rescored exactly and put first."""
-    from .channels import prefilter
+def prefilter_cascade(pages: DataFrame, queries: DataFrame, base: DataFrame, base_top: int, prefilter_top: int, mode: str = "balance_then_visual") -> DataFrame:
+    """The best pages of a run `base` (qid, doc_id, page_idx, score), of them the best by a prefilter, in the order of their exact scores.
 
-    lead = features.withColumn("base_rank", ranked(["qid"], F.desc("base"), "doc_id", "page_idx")).where(F.col("base_rank") <= base_top)
-    kept = prefilter(lead, mode).where(F.col("prefilter_rank") <= prefilter_top)
-    out = kept.join(exact.select(*KEY, F.col("score").alias("exact_score")), KEY)
-    return out.withColumn("rank", ranked(["qid"], F.desc("exact_score"), "prefilter_rank"))
+    Vectors, features and exact scores of the run's best pages alone are read and made.
+    """
+    from .channels import page_features, prefilter
+    from .retrieval import token_scores
+    from .retrieval import top_pages as best_of
+
+    lead = stored(best_of(base, base_top).select(*KEY, F.col("score").alias("base")), "cascade-lead")
+    scores = token_scores(pages, queries.where("active"), ["patch_idx", "side", "pclass"], ["qclass", "active"], lead)
+    features = page_features(scores).withColumnRenamed("base", "exact_score").join(lead, KEY)
+    kept = prefilter(features, mode).where(F.col("prefilter_rank") <= prefilter_top)
+    return kept.withColumn("rank", ranked(["qid"], F.desc("exact_score"), "prefilter_rank"))
 
 
 def reciprocal_rank_fusion(runs: DataFrame, k: int = 60) -> DataFrame:

@@ -2,16 +2,19 @@
 
 Pages are token rows (doc_id, page_idx, token_idx, emb), queries token rows (qid, q_idx, emb). The query side is what a
 request brings; it is collected in blocks of at most QUERY_TOKENS rows, each block multiplied with page batches as matrices, so
-corpus vectors are read once per block and never shuffled.
+corpus vectors are read once per block and never shuffled. Where `wanted` names the pages of each query, a page's vectors meet the
+tokens of its own queries alone, and other pages none.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +22,7 @@ from ..functions.columns import ranked
 
 QUERY_TOKENS = 65_536
 OUT_ROWS = 65_536
+PRODUCTS = 4_000_000
 PAGE = ["doc_id", "page_idx"]
 
 
@@ -42,7 +46,48 @@ def _schema(df: DataFrame, columns: list[str]) -> list[str]:
     return [f"`{c}` {kinds[c]}" for c in columns]
 
 
-def token_scores(pages: DataFrame, queries: DataFrame, page_columns: list[str] = (), query_columns: list[str] = ()) -> DataFrame:
+def _wanted(pages: DataFrame, columns: list[str], wanted: DataFrame | None) -> DataFrame:
+    """The page tokens, or those of wanted pages (qid, doc_id, page_idx) alone, with the queries that want them last."""
+    if wanted is None:
+        return pages.select(*columns, "emb")
+    return pages.join(wanted.groupBy(*PAGE).agg(F.collect_set("qid").alias("qids")), PAGE).select(*columns, "emb", "qids")
+
+
+def _places(block: pa.Table) -> dict:
+    """Where a query's tokens stand in a block."""
+    qids = block.column("qid").to_pylist()
+    cuts = [i for i, q in enumerate(qids) if not i or q != qids[i - 1]]
+    return {qids[i]: np.arange(i, j) for i, j in pairwise([*cuts, len(qids)])}
+
+
+def _by_page(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The order of a batch's rows (doc_id, page_idx, …) by page, and where pages begin in it."""
+    codes = [pc.dictionary_encode(batch.column(i), null_encoding="encode").indices.to_numpy() for i in (0, 1)]
+    order = np.lexsort(codes)
+    d, p = (c[order] for c in codes)
+    return order, np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (p[1:] != p[:-1])])) if len(order) else order
+
+
+def _meetings(batch: pa.RecordBatch, at: int, vectors: np.ndarray, places: dict | None, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, query tokens, their products) of a batch with vectors in column `at`: all with all, or each page with its own queries."""
+    x = _matrix(batch.column(at))
+    if places is None:
+        step = max(1, most // max(1, len(vectors)))
+        for low in range(0, len(x), step):
+            yield np.arange(low, min(low + step, len(x))), np.arange(len(vectors)), x[low : low + step] @ vectors.T
+        return
+    order, head = _by_page(batch)
+    for low, high in pairwise([*head, len(order)]):
+        rows = order[low:high]
+        own = [places[q] for q in batch.column(at + 1)[int(rows[0])].as_py() if q in places]
+        tokens = np.concatenate(own) if own else np.empty(0, int)
+        step = max(1, most // len(rows))
+        for cut in range(0, len(tokens), step):
+            some = tokens[cut : cut + step]
+            yield rows, some, x[rows] @ vectors[some].T
+
+
+def token_scores(pages: DataFrame, queries: DataFrame, page_columns: list[str] = (), query_columns: list[str] = (), wanted: DataFrame | None = None) -> DataFrame:
     """The score table: a row per query token and page token, with s = their dot product and the carried columns."""
     own = [*PAGE, "token_idx", *page_columns]
     theirs = ["qid", "q_idx", *query_columns]
@@ -51,50 +96,44 @@ def token_scores(pages: DataFrame, queries: DataFrame, page_columns: list[str] =
     def kernel(block: pa.Table):
         held = [block.column(c).combine_chunks() for c in theirs]
         vectors = _matrix(block.column("emb").combine_chunks())
+        places = None if wanted is None else _places(block)
 
         def run(batches):
             for batch in batches:
-                step = max(1, OUT_ROWS // max(1, len(vectors)))
-                for at in range(0, batch.num_rows, step):
-                    part = batch.slice(at, step)
-                    s = _matrix(part.column(len(own))) @ vectors.T
-                    rows, tokens = pa.array(np.repeat(np.arange(len(part)), len(vectors))), pa.array(np.tile(np.arange(len(vectors)), len(part)))
-                    yield pa.RecordBatch.from_arrays([*(h.take(tokens) for h in held), *(part.column(i).take(rows) for i in range(len(own))), pa.array(s.ravel())], [*theirs, *own, "s"])
+                for rows, tokens, s in _meetings(batch, len(own), vectors, places, OUT_ROWS):
+                    left, right = pa.array(np.tile(tokens, len(rows))), pa.array(np.repeat(rows, len(tokens)))
+                    yield pa.RecordBatch.from_arrays([*(h.take(left) for h in held), *(batch.column(i).take(right) for i in range(len(own))), pa.array(s.ravel())], [*theirs, *own, "s"])
 
         return run
 
-    parts = [pages.select(*own, "emb").mapInArrow(kernel(b), schema) for b in _query_blocks(queries, theirs) if b.num_rows]
+    some = _wanted(pages, own, wanted)
+    parts = [some.mapInArrow(kernel(b), schema) for b in _query_blocks(queries, theirs) if b.num_rows]
     return reduce(DataFrame.unionByName, parts) if parts else pages.sparkSession.createDataFrame([], schema)
 
 
-def token_maxima(pages: DataFrame, queries: DataFrame) -> DataFrame:
+def token_maxima(pages: DataFrame, queries: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """Best score of each query token on each page (qid, q_idx, doc_id, page_idx, best); batches are reduced before they are shuffled."""
     schema = ", ".join([*_schema(queries, ["qid", "q_idx"]), *_schema(pages, PAGE), "best double"])
 
     def kernel(block: pa.Table):
         ids = [block.column(c).combine_chunks() for c in ("qid", "q_idx")]
         vectors = _matrix(block.column("emb").combine_chunks())
+        places = None if wanted is None else _places(block)
 
         def run(batches):
             for batch in batches:
-                step = max(1, 4_000_000 // max(1, len(vectors)))
-                for at in range(0, batch.num_rows, step):
-                    part = batch.slice(at, step)
-                    page = pa.StructArray.from_arrays([part.column(0), part.column(1)], PAGE)
-                    code = pa.table({"d": part.column(0), "p": part.column(1)}).append_column("i", pa.array(np.arange(len(part))))
-                    order = code.sort_by([("d", "ascending"), ("p", "ascending")]).column("i").to_numpy()
-                    pages_sorted = page.take(pa.array(order))
-                    d, p = pages_sorted.field(0).dictionary_encode().indices.to_numpy(), pages_sorted.field(1).to_numpy()
-                    head = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (p[1:] != p[:-1])]))
-                    best = np.maximum.reduceat(_matrix(part.column(2))[order] @ vectors.T, head, axis=0)
-                    rows, tokens = pa.array(np.repeat(head, len(vectors))), pa.array(np.tile(np.arange(len(vectors)), len(head)))
-                    yield pa.RecordBatch.from_arrays([*(c.take(tokens) for c in ids), pages_sorted.field(0).take(rows), pages_sorted.field(1).take(rows), pa.array(best.ravel())], ["qid", "q_idx", *PAGE, "best"])
+                for rows, tokens, s in _meetings(batch, 2, vectors, places, PRODUCTS):
+                    order, head = _by_page(batch.select([0, 1]).take(pa.array(rows)))
+                    best = np.maximum.reduceat(s[order], head, axis=0)
+                    left, right = pa.array(np.tile(tokens, len(head))), pa.array(np.repeat(rows[order[head]], len(tokens)))
+                    yield pa.RecordBatch.from_arrays([*(c.take(left) for c in ids), batch.column(0).take(right), batch.column(1).take(right), pa.array(best.ravel())], ["qid", "q_idx", *PAGE, "best"])
 
         return run
 
-    parts = [pages.select(*PAGE, "emb").mapInArrow(kernel(b), schema) for b in _query_blocks(queries, ["qid", "q_idx"]) if b.num_rows]
-    some = reduce(DataFrame.unionByName, parts) if parts else pages.sparkSession.createDataFrame([], schema)
-    return some.groupBy("qid", "q_idx", *PAGE).agg(F.max("best").alias("best"))
+    some = _wanted(pages, PAGE, wanted)
+    parts = [some.mapInArrow(kernel(b), schema) for b in _query_blocks(queries, ["qid", "q_idx"]) if b.num_rows]
+    best = reduce(DataFrame.unionByName, parts) if parts else pages.sparkSession.createDataFrame([], schema)
+    return best.groupBy("qid", "q_idx", *PAGE).agg(F.max("best").alias("best"))
 
 
 def maxsim(pages: DataFrame, queries: DataFrame) -> DataFrame:
@@ -161,10 +200,8 @@ def knn_pages(near: DataFrame, k_page: int | None = None) -> DataFrame:
 
 
 def rescored(pages: DataFrame, queries: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Exact scores of candidate pages (qid, doc_id, page_idx): only their vectors are read into the product."""
-    some = pages.join(candidates.select(*PAGE).distinct(), PAGE, "left_semi")
-    best = token_maxima(some, queries).join(candidates.select("qid", *PAGE).distinct(), ["qid", *PAGE], "left_semi")
-    return best.groupBy("qid", *PAGE).agg(F.sum("best").alias("score"))
+    """Exact scores of each query's own candidate pages (qid, doc_id, page_idx); no other page or query is multiplied."""
+    return token_maxima(pages, queries, candidates).groupBy("qid", *PAGE).agg(F.sum("best").alias("score"))
 
 
 def two_stage(pages: DataFrame, queries: DataFrame, k_token: int, candidates: int, k: int) -> DataFrame:

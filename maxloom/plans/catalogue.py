@@ -346,18 +346,18 @@ def scalar_ranking(f):
 @query("SELECT qid, doc_id, page_idx, round(CASE WHEN p.rank <= 10 THEN ex.score ELSE p.score END, 6) AS final, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN p.rank <= 10 THEN ex.score ELSE p.score END DESC, p.rank) AS rank FROM run_p p JOIN ex USING (qid, doc_id, page_idx)")
 def two_stage_top_pages(f):
     approx = pruning.approx_scores(pruning.global_topk(_coarse(f), 4), f.scores)
-    return ranking.refreshed(approx, f.exact, top_pages=10).select(*PAGE, r("final"), "rank")
+    return ranking.refreshed(approx, f.rescored, top_pages=10).select(*PAGE, r("final"), "rank")
 
 
 @query("SELECT qid, doc_id, page_idx, round(CASE WHEN doc_rank <= 3 THEN ex.score ELSE p.score END, 6) AS final, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN doc_rank <= 3 THEN ex.score ELSE p.score END DESC, p.rank) AS rank FROM run_p p JOIN ex USING (qid, doc_id, page_idx) JOIN doc_p USING (qid, doc_id)")
 def two_stage_top_docs(f):
     approx = pruning.approx_scores(pruning.global_topk(_coarse(f), 4), f.scores)
-    return ranking.refreshed(approx, f.exact, top_docs=3).select(*PAGE, r("final"), "rank")
+    return ranking.refreshed(approx, f.rescored, top_docs=3).select(*PAGE, r("final"), "rank")
 
 
 @query("SELECT qid, doc_id, page_idx, round(base, 6) AS exact_score, row_number() OVER (PARTITION BY qid ORDER BY base DESC, prefilter_rank) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN balance > 0 THEN balance ELSE visual END DESC, multi_anchor DESC, confirmed DESC, visual DESC, grounded DESC, base DESC, doc_id || '_page' || page_idx DESC) AS prefilter_rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY base DESC, doc_id, page_idx) AS b FROM ft) WHERE b <= 30) WHERE prefilter_rank <= 8")
 def visual_prefilter_exact(f):
-    return ranking.prefilter_cascade(channels.page_features(f.scores), f.exact, 30, 8).select(*PAGE, r("exact_score"), "rank")
+    return ranking.prefilter_cascade(f.pages, f.queries, f.exact, 30, 8).select(*PAGE, r("exact_score"), "rank")
 
 
 @query("SELECT qid, combo, w_visual, w_balance, first_gold, hits4, hits10, row_number() OVER (PARTITION BY qid ORDER BY (coalesce(first_gold, 1e12) > 4)::INT, coalesce(first_gold, 1e12), hits4 DESC, hits10 DESC, combo) AS place FROM (SELECT qid, combo, w_visual, w_balance, min(rank) FILTER (g) AS first_gold, count(*) FILTER (g AND rank <= 4) AS hits4, count(*) FILTER (g AND rank <= 10) AS hits10 FROM (SELECT *, row_number() OVER (PARTITION BY qid, combo ORDER BY b.f DESC, b.base DESC, doc_id) AS rank, EXISTS (SELECT 1 FROM gold WHERE gold.qid = d.qid AND gold.doc_id = d.doc_id) AS g FROM (SELECT qid, combo, w_visual, w_balance, doc_id, max({'f': base + w_visual * visual + w_balance * balance, 'base': base}) AS b FROM ft, (VALUES (0::BIGINT, 0::DOUBLE, 0::DOUBLE), (1, 0, 8), (2, 1, 0), (3, 1, 8)) c(combo, w_visual, w_balance) GROUP BY ALL) d) GROUP BY ALL) QUALIFY place <= 3")

@@ -66,17 +66,14 @@ def rerank(pages: DataFrame, queries: DataFrame, config: RerankConfig, pool: Dat
     """Reranked pages (base, fused, rank) and documents (doc_score, rank), of a candidate pool (qid, doc_id, page_idx) if given."""
     if pool is not None:
         pages = pages.join(pool.select("doc_id", "page_idx").distinct(), ["doc_id", "page_idx"], "left_semi")
-    scores = retrieval.token_scores(pages, queries, [c for c in ("patch_idx", "side", "n", "pclass") if c in pages.columns], ["qclass", "active"])
-    if pool is not None:
-        scores = scores.join(pool.select("qid", "doc_id", "page_idx").distinct(), ["qid", "doc_id", "page_idx"], "left_semi")
+    scores = retrieval.token_scores(pages, queries, [c for c in ("patch_idx", "side", "n", "pclass") if c in pages.columns], ["qclass", "active"], pool)
     scores = stored(scores, "rerank-scores")
     features = channels.page_features(scores, config.radius, balance=config.balance)
     if config.selector is not None:
         kept = pruning.select_tokens(config.selector, config.selector_k, pruning.coarse_token_max(scores), scores, pages, **config.selector_options)
         approx = pruning.approx_scores(kept, scores).select("qid", "doc_id", "page_idx", "score")
         if config.refresh_pages is not None:
-            leads = retrieval.top_pages(approx, config.refresh_pages).select("qid", "doc_id", "page_idx")
-            exact = retrieval.maxsim_of(scores.where("active").join(leads, ["qid", "doc_id", "page_idx"], "left_semi"))
+            exact = lambda leads: retrieval.maxsim_of(scores.where("active").join(leads, ["qid", "doc_id", "page_idx"], "left_semi"))
             approx = ranking.refreshed(approx, exact, top_pages=config.refresh_pages).select("qid", "doc_id", "page_idx", F.col("final").alias("score"))
         features = features.drop("base").join(approx.withColumnRenamed("score", "base"), ["qid", "doc_id", "page_idx"])
     ranked_pages = ranking.fused_pages(features, config.weights, config.gate_docs, config.scale_by_base)

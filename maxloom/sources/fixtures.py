@@ -57,6 +57,9 @@ class Fixture:
     def exact(self) -> DataFrame:
         return retrieval.maxsim(self.pages, self.queries.where("active"))
 
+    def rescored(self, candidates: DataFrame) -> DataFrame:
+        return retrieval.rescored(self.pages, self.queries.where("active"), candidates)
+
     @cached_property
     def run_exact(self) -> DataFrame:
         return retrieval.rank_pages(self.exact)

@@ -82,6 +82,23 @@ def test_two_stage_with_all_candidates_is_exact_and_pruned_is_never_more(small):
         retrieval.require_active(queries.withColumn("active", F.lit(False)))
 
 
+def test_wanted_pages_meet_their_own_queries_alone(spark, small, monkeypatch):
+    pages, queries, _, _ = small
+    own = {(0, "d0", 1), (0, "d2", 0), (1, "d0", 1), (1, "d1", 0)}
+    wanted = spark.createDataFrame([*own, (0, "d0", 1), (7, "d2", 1)], "qid long, doc_id string, page_idx long")
+    key = ["qid", "doc_id", "page_idx"]
+    exact = {tuple(r[k] for k in key): r["score"] for r in retrieval.maxsim(pages, queries).collect()}
+    full = {tuple(r[k] for k in [*key, "q_idx", "token_idx"]): r["s"] for r in retrieval.token_scores(pages, queries).collect()}
+    for block, products in ((65_536, 4_000_000), (1, 3)):
+        monkeypatch.setattr(retrieval, "QUERY_TOKENS", block)
+        monkeypatch.setattr(retrieval, "PRODUCTS", products)
+        got = {tuple(r[k] for k in key): r["score"] for r in retrieval.rescored(pages, queries, wanted).collect()}
+        assert set(got) == own and all(got[k] == pytest.approx(exact[k]) for k in own)
+        table = {tuple(r[k] for k in [*key, "q_idx", "token_idx"]): r["s"] for r in retrieval.token_scores(pages, queries, wanted=wanted).collect()}
+        assert table.keys() == {k for k in full if k[:3] in own} and all(table[k] == pytest.approx(full[k]) for k in table)
+    assert retrieval.rescored(pages, queries, wanted.limit(0)).count() == 0
+
+
 def test_sequential_selectors_equal_plain_loops(small):
     pages, queries, p, q = small
     scores = retrieval.token_scores(pages, queries, query_columns=["active"])
