@@ -33,7 +33,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = exact_dedup(docs.select("doc_id", "text"))
+    judged = exact_dedup(docs.select("doc_id", "text").where("doc_id IS NOT NULL"))
     marked = judged.groupBy(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha")).agg(F.max("kept").alias("kept"), F.count("*").alias("rows"))
     marked = materialize(marked.where("NOT kept OR rows > 1"), "exact-marked")
     # Ids meet; digests are compared only where they do.
