@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one numpy pass holds; working arrays are some ten times as large.
@@ -60,6 +60,27 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def identified(rows: DataFrame, id_col: str, *columns: Column) -> DataFrame:
+    """(doc_id, unnamed, columns) of all rows. Rows without an id are numbered, in a table of their own, so that each is a row like any other."""
+    of = lambda some, key, unnamed: some.select(key.alias("doc_id"), F.lit(unnamed).alias("unnamed"), *columns)
+    has = F.col(id_col).isNotNull()
+    named = of(rows.where(has), F.col(id_col).cast("long"), False)
+    without = rows.where(~has)
+    if without.isEmpty():
+        return named
+    return named.unionByName(materialize(of(without, F.monotonically_increasing_id(), True), "unnamed"))
+
+
+def row_hash(h: Column, unnamed: Column) -> Column:
+    """A hash whose lowest bit tells whether the row has no id: numbers and ids are never taken for one another."""
+    return h.bitwiseAND(F.lit(-2).cast("long")).bitwiseOR(unnamed.cast("long"))
+
+
+def own_id(doc_id: Column, h: Column) -> Column:
+    """A row's id as it was given: null where it had none."""
+    return F.when(h.bitwiseAND(F.lit(1).cast("long")) == 0, doc_id)
+
+
 def tidy() -> None:
     """Give freed memory back to the system: workers are kept between tasks, and what they hold counts against the executor."""
     gc.collect()

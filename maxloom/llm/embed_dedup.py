@@ -13,7 +13,8 @@ blocks that meet pair by pair, so a hot label or leaf is spread over tasks and n
 LEAF_ROWS need, MAX_DEPTH at most; beyond it leaves grow.
 
 Vectors that are null, empty, zero or hold null or non-finite components, and rows of null label, link with nothing; vectors of
-different length are not compared. Rows with a null id are left out; repeated ids keep a row each; extra columns are ignored; an
+different length are not compared. Vectors with a null id link like others; a component without any id has a null component_id, and its
+vectors are kept. Repeated ids keep a row each; extra columns are ignored; an
 empty table gives an empty result.
 """
 
@@ -170,7 +171,7 @@ def embed_dedup(vectors: DataFrame, cosine: float = COSINE, trees: int = TREES,
     """One row per vector: vec_id, n_links, component_id, kept."""
     element = vectors.schema[vector_col].dataType.elementType
     kind = "array<float>" if isinstance(element, T.FloatType) else "array<double>"
-    rows = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).cast(kind).alias("v"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).cast(kind).alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & (F.abs(x) < float("inf")) & ~F.isnan(x)) & F.exists("v", lambda x: x != 0)
     valid = F.coalesce(F.col("label").isNotNull() & finite, F.lit(False))
     rows = rows.select("vec_id", F.when(valid, F.xxhash64("label", "v")).alias("k"), "label", "v")
@@ -193,4 +194,4 @@ def embed_dedup(vectors: DataFrame, cosine: float = COSINE, trees: int = TREES,
     ids = materialize(labelled.groupBy("root").agg(F.min("vec_id").alias("component_id")), "embed-components")
     labelled = materialize(labelled.join(ids, "root").select("k", "component_id", (F.col("links") + F.col("copies") - 1).alias("n_links")), "embed-result")
     out = rows.select("vec_id", "k").join(labelled, "k", "left")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), (F.coalesce("component_id", "vec_id") == F.col("vec_id")).alias("kept"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), F.coalesce("component_id", "vec_id").eqNullSafe(F.col("vec_id")).alias("kept"))

@@ -86,14 +86,15 @@ ORACLE_SQL = {
         l AS (SELECT a, count(*) AS n_links FROM p GROUP BY a), k AS (SELECT id, min(root) AS class_id FROM r GROUP BY id)
         SELECT w.doc_id, class_id, coalesce(n_links, 0) AS n_links, coalesce(n.n, 0) AS n_shingles FROM w JOIN k ON k.id = w.doc_id LEFT JOIN n USING (doc_id) LEFT JOIN l ON a = w.doc_id""",
     "op3_embed_dedup": """
-        WITH RECURSIVE e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
-        p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) >= 0.93),
-        r(id, root) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT p.b, r.root FROM r JOIN p ON r.id = p.a),
-        n AS (SELECT a, count(*) AS n FROM p GROUP BY a), c AS (SELECT id, min(root) AS root FROM r GROUP BY id)
-        SELECT vec_id, coalesce(n, 0) AS n_links, root AS component_id, root = vec_id AS kept FROM embeddings JOIN c ON id = vec_id LEFT JOIN n ON a = vec_id""",
+        WITH RECURSIVE t AS MATERIALIZED (SELECT row_number() OVER () AS i, vec_id, label, embedding FROM embeddings),
+        e AS (SELECT i, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM t WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        p AS (SELECT a.i AS a, b.i AS b FROM e a JOIN e b ON a.label = b.label AND a.i <> b.i AND len(a.v) = len(b.v) WHERE list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) >= 0.93),
+        r(id, root) AS (SELECT i, i FROM t UNION SELECT p.b, r.root FROM r JOIN p ON r.id = p.a),
+        n AS (SELECT a, count(*) AS n FROM p GROUP BY a), c AS (SELECT id, min(vec_id) AS root FROM r JOIN t ON root = i GROUP BY id)
+        SELECT vec_id, coalesce(n, 0) AS n_links, root AS component_id, root IS NOT DISTINCT FROM vec_id AS kept FROM t JOIN c ON id = i LEFT JOIN n ON a = i""",
     "op6_exact_dedup": r"""
-        WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents WHERE doc_id IS NOT NULL)
-        SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
+        WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
+        SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, CASE WHEN min(doc_id) OVER w IS NULL THEN row_number() OVER w = 1 ELSE coalesce(doc_id = min(doc_id) OVER w, false) END AS kept, sha256(norm) AS text_sha256
         FROM t WINDOW w AS (PARTITION BY norm)""",
     "op7_license_scan": license_oracle(),
 }

@@ -11,7 +11,8 @@ anchor (see `anchors`), so equal strings meet under one anchor; starts in a row
    are told apart by the bytes that all their strings share, and starts of slices that are still tied are counted string by string.
 
 Strings are compared as bytes within shards, and by 128-bit fingerprints (64 of them with the anchor, or with the bytes that a
-slice shares) between equal windows, slices and single strings. Null text is empty. Rows with a null id are left out; rows of a repeated id are told apart by their text's hash, and strings of a
+slice shares) between equal windows, slices and single strings. Null text is empty. Rows with a null id are numbered inside, so that their
+strings count like any other; their doc_id is null. Rows of a repeated id are told apart by their text's hash, and strings of a
 row that is repeated as a whole occur more than once; extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import _rolled, runs
-from .common import byte_slices, _LETTER, materialize, mix64, text_bytes, tidied, whole_groups
+from .common import byte_slices, identified, _LETTER, materialize, mix64, own_id, row_hash, text_bytes, tidied, whole_groups
 from .induced import repeated_starts
 
 SPAN = 400
@@ -239,7 +240,8 @@ def _hot_stretches(texts: DataFrame, windows: DataFrame, span: int) -> DataFrame
 
 def suffix_dedup(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, shard_bytes: int = SHARD_BYTES, queue_bytes: int = QUEUE_BYTES) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = identified(docs, id_col, F.col(text_col).alias("text"))
+    texts = texts.select("doc_id", row_hash(F.xxhash64("text"), F.col("unnamed")).alias("h"), F.coalesce("text", F.lit("")).alias("text"))
     listed = materialize(texts.where(F.octet_length("text") >= span).mapInArrow(tidied(_list_runs(span)), _RUNS), "repeat-runs")
     first = F.min(F.struct("doc_id", "h", "start", "count", "place")).alias("first")
     windows = materialize(listed.groupBy("anchor", "content").agg(F.count("*").alias("n"), first), "repeat-windows")
@@ -256,5 +258,5 @@ def suffix_dedup(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text
     if not todo.where("hot").isEmpty():
         repeated = repeated.unionByName(_hot_stretches(texts, cut.where("hot"), span))
     stretches = _listed(repeated, ["start", "count"])
-    out = texts.join(stretches.hint("merge"), ["doc_id", "h"], "left").select("doc_id", "text", "windows")
+    out = texts.join(stretches.hint("merge"), ["doc_id", "h"], "left").select(own_id(F.col("doc_id"), F.col("h")).alias("doc_id"), "text", "windows")
     return out.mapInArrow(tidied(_finish(span)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

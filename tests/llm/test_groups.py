@@ -156,7 +156,7 @@ def test_embed_dedup_recall_and_counts(spark):
     rows += [(5000 + i, v, 1) for i, v in enumerate(bad)] + [(6000, rows[0][1], None), (6001, [1.0, 2.0], 1), (6002, [1.0, 2.0], 1), (None, rows[0][1], 0)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("k", F.lit(1)).withColumn("v", F.lit("x"))
     got = {r["vec_id"]: r for r in embed_dedup.embed_dedup(table).collect()}
-    ok = [(i, np.array(v, float), label) for i, v, label in rows if i is not None and i < 5000]
+    ok = [(i, np.array(v, float), label) for i, v, label in rows if i is None or i < 5000]
     x = np.stack([v / np.linalg.norm(v) for _, v, _ in ok])
     label = np.array([c for _, _, c in ok])
     near = (x @ x.T >= 0.93) & (label[:, None] == label)
@@ -168,7 +168,9 @@ def test_embed_dedup_recall_and_counts(spark):
     for i in [*range(5000, 5006), 6000]:
         assert tuple(got[i]) == (i, 0, i, True)
     assert got[6002]["component_id"] == 6001 and got[6002]["n_links"] == 1
-    assert len(got) == len(rows) - 1
+    assert len(got) == len(rows) and got[None]["component_id"] == 0 and not got[None]["kept"]
+    unnamed = embed_dedup.embed_dedup(table.withColumn("vec_id", F.lit(None).cast("long"))).collect()
+    assert sum(r["n_links"] for r in unnamed if r["n_links"] > 1) >= 0.97 * near.sum() and all(r["component_id"] is None and r["kept"] for r in unnamed)
     assert embed_dedup.embed_dedup(table.limit(0)).count() == 0
 
 
@@ -239,10 +241,10 @@ def test_suffix_dedup_equals_brute_force(spark, awkward, awkward_rows, options):
     passage = prose(rng, 160)
     shared = [(500 + i, f"{prose(rng, rng.randrange(5, 90))} {passage} {prose(rng, rng.randrange(5, 90))}") for i in range(12)]
     shared += [(600, "ab" * 700), (601, "x" * 399), (602, "y" * 401), (603, "z" * 2000 + passage)]
-    rows = [r for r in awkward_rows if r[0] is not None] + shared
-    docs = awkward.select("doc_id", "text", "windows", "h").where("doc_id IS NOT NULL").unionByName(spark.createDataFrame(shared, "doc_id long, text string"), allowMissingColumns=True)
-    got = sorted(tuple(r) for r in suffix_dedup.suffix_dedup(docs, **options).collect())
-    assert got == sorted((i, *x) for (i, _), x in zip(rows, brute_repeats([t for _, t in rows], 400), strict=True))
+    rows = [*awkward_rows, (None, None), (None, passage), (None, passage), *shared]
+    docs = awkward.select("doc_id", "text", "windows", "h").unionByName(spark.createDataFrame([(None, None), (None, passage), (None, passage)], "doc_id long, text string"), allowMissingColumns=True).unionByName(spark.createDataFrame(shared, "doc_id long, text string"), allowMissingColumns=True)
+    got = sorted((tuple(r) for r in suffix_dedup.suffix_dedup(docs, **options).collect()), key=repr)
+    assert got == sorted(((i, *x) for (i, _), x in zip(rows, brute_repeats([t for _, t in rows], 400), strict=True)), key=repr)
 
 
 def test_suffix_dedup_of_nothing(nothing):
@@ -253,12 +255,13 @@ def test_suffix_dedup_of_nothing(nothing):
 
 
 def test_exact_dedup_equals_brute_force(awkward, awkward_rows, nothing):
-    rows = [(i, re.sub(r"[\x20\x09-\x0D]+", " ", t or "")) for i, t in awkward_rows if i is not None]
+    rows = [(i, re.sub(r"[\x20\x09-\x0D]+", " ", t or "")) for i, t in awkward_rows]
     groups = collections.defaultdict(list)
     for i, t in rows:
         groups[t].append(i)
-    want = sorted((i, min(groups[t]), len(groups[t]), i == min(groups[t]), hashlib.sha256(t.encode()).hexdigest()) for i, t in rows)
-    assert sorted(map(tuple, exact_dedup.exact_dedup(awkward).collect())) == want
+    least = {t: min((i for i in ids if i is not None), default=None) for t, ids in groups.items()}
+    want = sorted(((i, least[t], len(groups[t]), i == least[t], hashlib.sha256(t.encode()).hexdigest()) for i, t in rows), key=repr)
+    assert sorted(map(tuple, exact_dedup.exact_dedup(awkward).collect()), key=repr) == want
     assert exact_dedup.exact_dedup(nothing).count() == 0
 
 
@@ -269,11 +272,18 @@ def test_exact_dedup_tells_rows_of_a_repeated_id_apart(spark):
     assert got == sorted([(1, sha["a"], 1, 2, True), (1, sha["b"], 1, 3, True), (2, sha["a"], 1, 2, False), (3, sha["b"], 1, 3, False), (3, sha["b"], 1, 3, False), (4, sha["c"], 4, 1, True), (4, sha["d"], 4, 1, True)])
 
 
+@pytest.mark.parametrize("huge", [exact_dedup.HUGE, 0])
+def test_exact_dedup_keeps_one_of_rows_without_ids(spark, huge):
+    rows = [(None, "a"), (None, "a"), (None, "b"), (0, "b"), (None, "c"), (1, "d"), (None, "a"), (2, "e")]
+    got = sorted((tuple(r)[:4] for r in exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string"), huge=huge).collect()), key=repr)
+    assert got == sorted([(None, None, 3, True), (None, None, 3, False), (None, None, 3, False), (None, 0, 2, False), (0, 0, 2, True), (None, None, 1, True), (1, 1, 1, True), (2, 2, 1, True)], key=repr)
+
+
 def test_exact_dedup_of_huge_texts_hashes_chunks_apart(spark, awkward, awkward_rows, monkeypatch):
     monkeypatch.setattr(exact_dedup, "COMPARE_CHARS", 7)
-    want = sorted(map(tuple, exact_dedup.exact_dedup(awkward).collect()))
+    want = sorted(map(tuple, exact_dedup.exact_dedup(awkward).collect()), key=repr)
     got = exact_dedup.exact_dedup(awkward, huge=10)
-    assert sorted(map(tuple, got.collect())) == want and len(want) == sum(i is not None for i, _ in awkward_rows)
+    assert sorted(map(tuple, got.collect()), key=repr) == want and len(want) == len(awkward_rows)
 
 
 def test_equal_fingerprints_of_different_texts_are_told_apart(spark, monkeypatch):
